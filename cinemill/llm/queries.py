@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cinemill.llm.clusters import spelling_clusters, vector_clusters
 from cinemill.llm.leakage import leaked_items
 from cinemill.llm.neighbours import exact_cosines, nearest
 from cinemill.llm.packing import container_fill, pack_documents
+from cinemill.llm.pii import find_personal, redact
 from cinemill.llm.ranking import ideal_point_ranking
 from cinemill.llm.repetition import compression_bands
 from cinemill.plans.tables import table
@@ -63,6 +65,22 @@ def p2_found(spark, folder, least: float = 0.9, k: int = 5):
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p3_clusters(spark, folder):
+    """Every face and every spelling with its cluster's key, size and most typical members."""
+    seconds = table(spark, folder, "temporal_feature").filter(F.size("face_embeddings") > 0)
+    faces = seconds.select("video_id", F.floor(F.col("timestamp_ms") / 1000).alias("second"), F.posexplode("face_embeddings").alias("place", "face"))
+    faces = faces.select("video_id", F.format_string("%08d-%d", "second", "place").alias("member"), "face")
+    labels = table(spark, folder, "video_event").select("video_id", F.explode("character_labels").alias("label"))
+    columns = ["video_id", "member", "cluster_key", "cluster_size", "typical"]
+    return vector_clusters(faces, "video_id", "member", "face").select(F.lit("face").alias("item_kind"), *columns).unionByName(
+        spelling_clusters(labels, "video_id", "label").select(F.lit("label").alias("item_kind"), *columns)
+    )
+
+
+def p3_found(spark, folder):
+    return p3_clusters(spark, folder).select("item_kind", "video_id", F.col("member").alias("member_key"), "cluster_key")
+
+
 def event_scores(spark, folder, slot_ms: int = 60_000):
     """The events with the largest usable motion, audio and novelty score of their packets.
 
@@ -124,17 +142,35 @@ def p7_found(spark, folder):
     return p7_spans(spark, folder).select("doc_id", "item_id")
 
 
+def _personal(spark, folder):
+    return find_personal(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "person_name"), "name_text", "name_kind")
+
+
+def p8_found(spark, folder):
+    return _personal(spark, folder).select("doc_id", F.col("kind").alias("pii_kind"), F.col("text").alias("pii_text")).distinct()
+
+
+def p8_redacted(spark, folder):
+    """The texts with a typed placeholder in place of every piece of personal data."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return redact(documents, "doc_id", "text", _personal(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_bands": p1_bands,
     "p2_found": p2_found,
     "p2_knn": p2_knn,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p5_found": p5_found,
     "p5_ranking": p5_ranking,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 _LEAK = r"""d as (
