@@ -15,6 +15,7 @@ copy's nearest vectors are its copies.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ class Index:
     probes: int = 6
     cell: int = 100
     most_cells: int = 8192
-    sample: int = 65_536
+    sample: int = 24_576
     rounds: int = 6
     tile: int = 8192
     error: float = 1.9
@@ -69,7 +70,7 @@ def centroids(x: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), cells, replace=False)].copy()
     for _ in range(rounds):
-        home = np.concatenate([(x[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(x), 8192)])
+        home = np.concatenate([(x[i : i + 2048] @ centres.T).argmax(1) for i in range(0, len(x), 2048)])
         order = np.argsort(home, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0])
         sums = np.add.reduceat(x[order], starts, axis=0)
@@ -166,16 +167,18 @@ def nearest(df: DataFrame, keys: list[str], vector: str, *, dims: int = 160, k:
 
     fraction = min(1.0, p.sample / max(rows, 1))
     picked = base.select("v").sample(fraction, seed=p.seed).mapInArrow(raw, "v binary").limit(2 * p.sample).collect()
-    sample = np.frombuffer(b"".join(r.v for r in picked), dtype=np.float32).reshape(-1, dims)
-    if not len(sample):  # a small table whose sample is empty has fraction 1, so it has no usable vector
+    counts, size = Counter(r.v for r in picked), len(picked)
+    del picked
+    values = np.frombuffer(b"".join(counts), dtype=np.float32).reshape(-1, dims)
+    if not size:  # a small table whose sample is empty has fraction 1, so it has no usable vector
         return spark.createDataFrame([], T.StructType([T.StructField("q", key_type), T.StructField("n", key_type), T.StructField("cosine", T.FloatType())]))
-    n = len(sample) / fraction
-    values, counts = np.unique(sample, axis=0, return_counts=True)
-    heavy = {v.tobytes() for v in values[counts >= max(4 * k, p.heavy * len(sample))]}
+    n = size / fraction
+    heavy = {v for v, times in counts.items() if times >= max(4 * k, p.heavy * size)}
+    del counts
     cells = int(min(max(1, round(n / p.cell)), p.most_cells, len(values)))
     centres = centroids(values, cells, p.rounds, p.seed) if cells > 1 else np.zeros((1, dims), np.float32)
     turn = rotation(dims, p.seed)
-    load = np.bincount(nearest_cells(values, centres, p.probes).ravel(), minlength=cells) * (n / len(sample))
+    load = np.bincount(nearest_cells(values, centres, p.probes).ravel(), minlength=cells) * (n / size)
     tiles = np.maximum(1, np.ceil(load / p.tile)).astype(np.int64)
     shared = spark.sparkContext.broadcast((centres, turn, centres @ turn, tiles, heavy))
 
