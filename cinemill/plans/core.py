@@ -1,0 +1,6 @@
+"""The core's registry: queries and their SQL."""
+
+from cinemill.plans.queries import QUERIES
+from cinemill.plans.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
