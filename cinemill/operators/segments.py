@@ -12,6 +12,7 @@ from cinemill.functions import scoring as S
 from cinemill.functions import vec
 from cinemill.operators.features import SLICE_S, majority_labels
 from cinemill.operators.sliced import neighbours, running_sum
+from cinemill.session import cut
 
 
 def _slice() -> Column:
@@ -38,22 +39,25 @@ def close_segments(decided: DataFrame, config: SegmenterConfig, unit_ms: float =
     before that no split can touch them cut a stream into islands; only islands longer than the maximum are
     folded row by row, all others follow from their ends.
     """
-    rows = segment_seconds(decided)
+    # Only these columns go through the steps; each step is written once, as its result is used twice.
+    narrow = cut(decided.select("video_id", "second", "is_boundary", "dominant", "boundary_confidence", "fused"))
+    rows = cut(segment_seconds(narrow))
     ends = rows.groupBy("video_id", "segment").agg(F.min("second").alias("first"), F.max("second").alias("last"))
     ends = neighbours(ends, "video_id", ["segment"], F.floor(F.col("segment") / 4096), back=0, ahead=1, carry=["first"])
     # A segment is long if at the second that closes it (or its last one) the open event is over the limit.
     limit = config.maximum_event_s * 1000.0 / unit_ms
     closing = F.coalesce(F.col("next1.first") + 1, F.col("last"))
-    ends = ends.withColumn("long", closing - F.col("first") > limit)
+    ends = cut(ends.withColumn("long", closing - F.col("first") > limit))
     # An island starts with a segment whose predecessor isn't long.
     marks = neighbours(ends.select("video_id", "segment", "first", "last", "long", F.col("next1.first").alias("next_first")), "video_id", ["segment"], F.floor(F.col("segment") / 4096), carry=["long"])
     marks = running_sum(marks.withColumn("opens", (~F.coalesce("prev1.long", F.lit(False))).cast("long")).drop("prev1"), "video_id", ["segment"], F.floor(F.col("segment") / 4096), F.col("opens"), "island")
+    marks = cut(marks)
     folded = marks.groupBy("video_id", "island").agg(F.max("long").alias("fold"))
     marks = marks.join(folded, ["video_id", "island"]).select("video_id", "segment", "island", "fold", "next_first")
-    rows = rows.join(marks, ["video_id", "segment"])
+    rows = cut(rows.join(marks, ["video_id", "segment"]))
 
     short = rows.filter("not fold")
-    closers = decided.filter("is_boundary").select(
+    closers = narrow.filter("is_boundary").select(
         "video_id",
         F.when(F.col("dominant") == "motion_spike", F.col("second") - 1).otherwise(F.col("second")).alias("next_first"),
         F.col("dominant").alias("reason"),
@@ -70,8 +74,8 @@ def close_segments(decided: DataFrame, config: SegmenterConfig, unit_ms: float =
         F.coalesce("reason", F.lit("stream_end")).alias("reason"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
     )
-    kept = [*decided.columns]
-    plain = short.select(*kept, "segment").join(spans, ["video_id", "segment"]).select(*kept, "start_ms", "end_ms", "reason", "confidence")
+    found = ["video_id", "second", "start_ms", "end_ms", "reason", "confidence"]
+    plain = short.select("video_id", "second", "segment").join(spans, ["video_id", "segment"]).select(*found)
 
     schema = T.StructType(
         [T.StructField("video_id", decided.schema["video_id"].dataType), T.StructField("second", T.LongType())]
@@ -105,8 +109,7 @@ def close_segments(decided: DataFrame, config: SegmenterConfig, unit_ms: float =
     used = first | (spiked & (F.col("dominant") == "motion_spike"))
     long_rows = long_rows.withColumn("is_boundary", F.col("is_boundary") & ~used).join(after, ["video_id", "island"])
     split = long_rows.groupBy("video_id", "island").applyInPandas(fold, schema)
-    split = decided.join(split, ["video_id", "second"]).select(*kept, "start_ms", "end_ms", "reason", "confidence")
-    return plain.unionByName(split)
+    return cut(decided.join(plain.unionByName(split), ["video_id", "second"]))
 
 
 def construct(rows: list[tuple], limit: float) -> list[tuple]:

@@ -210,7 +210,7 @@ def a10_event_embedding(spark, d):
     """The first number and the length of every event's mean vector."""
     e = _built(spark, d).filter("event_embedding is not null")
     first = F.round(F.get("event_embedding", F.lit(0)).cast("double"), 5)
-    return e.select("video_id", "event_id", first.alias("first"), F.round(vec.norm("event_embedding"), 5).alias("length"))
+    return e.select("video_id", "event_id", (first + 0.0).alias("first"), F.round(vec.norm("event_embedding"), 5).alias("length"))
 
 
 def t8_force_split(spark, d):

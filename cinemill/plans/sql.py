@@ -20,7 +20,7 @@ TF = f"""tf as (select video_id, s, {_u('motion_score')} m, {_u('novelty_score')
   case when len(multimodal_embedding) = 160 and len(list_filter(multimodal_embedding, lambda x: x <> 0)) > 0 then multimodal_embedding::double[] end e
   from (select *, floor(timestamp_ms / 1000)::bigint s, row_number() over (partition by video_id, floor(timestamp_ms / 1000)) rn from temporal_feature) where rn = 1)"""
 EV = "ev as (select * from (select *, row_number() over (partition by video_id, event_id) rn from video_event) where rn = 1)"
-DEN = """den as (select p.video_id, p.frame_id, coalesce(least(sum(greatest(least(c.end_ms, p.t + 5000) - greatest(c.start_ms, p.t), 0)) / 5000, 1), 0) density
+DEN = """den as (select p.video_id, p.frame_id, least(coalesce(sum(greatest(least(c.end_ms, p.t + 5000) - greatest(c.start_ms, p.t), 0)) filter (c.start_ms is not null), 0), 5000) / 5000 density
   from pk p left join cue c on c.video_id = p.video_id and c.start_ms < p.t + 5000 and c.end_ms > p.t group by 1, 2)"""
 IMP = "least(greatest(0.3 * m + 0.25 * coalesce(sc, false)::int + 0.2 * a + 0.1 * density + 0.15 * n, 0), 1)"
 FPS = "(case when importance < 0.2 then 0.5 when importance < 0.4 then 1 when importance < 0.6 then 2 when importance < 0.8 then 5 else 10 end)::double"
@@ -40,7 +40,7 @@ def _cos(x: str, y: str) -> str:
 SIG = f"""lg as (select *, lag(s) over w ps, lag(scene_label) over w pscene, lag(character_count) over w pc, lag(dialogue_present) over w pd, lag(music_mood) over w pm,
     lag(action_label) over w p1, lag(action_label, 2) over w p2, lag(e) over w pe from tf window w as (partition by video_id order by s)),
 sig as (select *,
-  (scene_label is distinct from pscene)::int::double scene, coalesce(least(abs(character_count - pc) / 2, 1), 0.0) chr, (dialogue_present is distinct from pd)::int::double dlg,
+  (scene_label is distinct from pscene)::int::double scene, case when character_count is null or pc is null then 0e0 else least(abs(character_count - pc) / 2, 1) end chr, (dialogue_present is distinct from pd)::int::double dlg,
   coalesce(camera_cue in ('cut', 'fade'), false)::int::double cam, (music_mood is distinct from pm)::int::double mus,
   {_cos('e', 'pe')} emb,
   case when e is null or pe is null then 0.0 else (select {_cos('x', 'e')} from (select list_transform(list_zip(e, pe), lambda z: 2 * z[1] - z[2]) x)) end perr,
@@ -86,7 +86,7 @@ lc as (select video_id, seg, scene_label from lb qualify row_number() over (part
 tx as (select video_id, seg, trim(x) x, min((s, i)) o from (select video_id, seg, s, unnest(string_split(dialogue_text, ' | ')) x, unnest(range(len(string_split(dialogue_text, ' | ')))) i
     from sg where length(dialogue_text) > 0) where trim(x) <> '' group by 1, 2, 3),
 ty as (select video_id, seg, string_agg(x, ' ' order by o) dialogue_text from tx group by 1, 2),
-ag as (select video_id, seg, count(*) seconds, least(greatest(0.4 * max(m) + 0.25 * max(n) + 0.2 * avg(a) + 0.15 * avg(coalesce(dialogue_present, false)::int), 0), 1) importance,
+ag as (select video_id, seg, count(*) as seconds, least(greatest(0.4 * max(m) + 0.25 * max(n) + 0.2 * avg(a) + 0.15 * avg(coalesce(dialogue_present, false)::int), 0), 1) importance,
   avg(coalesce(dialogue_present, false)::int) dl, avg(coalesce(action_label = 'fast_action', false)::int) ac, avg(coalesce(camera_cue in ('cut', 'fade', 'black'), false)::int) cm,
   max(character_count) mx, bool_or(image_available) av, string_agg(distinct character_count::varchar, ',' order by character_count::varchar) cr from sg group by 1, 2),
 ee as (select se.*, ag.* exclude (video_id, seg), nullif(lc.scene_label, 'unknown') place, ty.dialogue_text from se join ag using (video_id, seg) left join lc using (video_id, seg) left join ty using (video_id, seg)),
@@ -195,8 +195,8 @@ select video_id, s as second, case when k then round(perr, 6) end as prediction_
     "t7_events": f"""with {TF}, {SIG}, {DEC}, {SEG} select video_id, event_id, start_ms, end_ms, boundary_reason, seconds, cr as counts, mx as max_characters_seen, av as character_data_available,
   place as location_label, dialogue_text, event_type, {TEMPLATE} as summary, round(importance, 9) as importance, round(confidence, 6) as confidence from ef""",
     "a10_event_embedding": f"""with {TF}, {SIG}, {DEC}, {SEG}, x as (select video_id, seg, unnest(e) v, unnest(range(160)) i from sg where e is not null),
-y as (select video_id, seg, i, avg(v) a from x group by 1, 2, 3)
-select y.video_id, event_id, round(max(a::float::double) filter (i = 0), 5) as first, round(sqrt(sum(a * a)), 5) as length from y join se using (video_id, seg) group by 1, 2""",
+y as (select video_id, seg, i, avg(v) q from x group by 1, 2, 3)
+select y.video_id, event_id, round(max(q::float::double) filter (i = 0), 5) + 0e0 as first, round(sqrt(sum(q * q)), 5) as length from y join se using (video_id, seg) group by 1, 2""",
     "t6a_should_merge": f"""with {EV}, x as (select a.video_id, a.event_id, a.boundary_reason r1, b.boundary_reason r2, list_sort(coalesce(a.character_count_range, [])) c1, list_sort(coalesce(b.character_count_range, [])) c2,
   a.location_label l1, b.location_label l2, a.event_embedding::double[] e1, b.event_embedding::double[] e2 from ev a join ev b on b.video_id = a.video_id and b.event_id = a.event_id + 1)
 select video_id, event_id, not coalesce(r1 in ('scene_change', 'motion_spike') or r2 in ('scene_change', 'motion_spike'), false) and c1 = c2 and l1 is not distinct from l2

@@ -1,0 +1,240 @@
+"""The reference's operators on small fixtures and against brute force; its end-to-end trace of a fight clip."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cinemill.config import SamplerConfig, SegmenterConfig, load
+from cinemill.functions import scoring as S
+from cinemill.functions import text as X
+from cinemill.functions import vec
+from cinemill.operators import boundary, people, quality, sampler, segments
+from cinemill.operators.features import per_second
+from cinemill.operators.sliced import neighbours, running_sum
+from cinemill.plans.tables import table
+from cinemill.streaming.stateful import schedule_stream
+
+PACKET = "video_id long, frame_id long, timestamp_ms double, fps_used double, motion_score double, scene_change boolean, audio_energy double, novelty_score double, subtitle_text string"
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
+
+
+def fight(spark, streams=(1,)):
+    rows = []
+    for v in streams:
+        for s in range(81):
+            m, c, a, n, t = (
+                (0.05, False, 0.10, 0.10, "Character A says something." if s % 2 == 0 else None) if s < 30
+                else (0.70, False, 0.40, 0.55, None) if s < 50
+                else (0.08, False, 0.08, 0.12, None) if s < 69
+                else (0.03, True, 0.20, 0.45, None) if s == 69
+                else (0.02, False, 0.05, 0.08, None)
+            )
+            rows.append((v, s, 1000.0 * s, 1.0, m, c, a, n, t))
+    return spark.createDataFrame(rows, PACKET)
+
+
+def test_fight_clip_end_to_end(spark):
+    config = SegmenterConfig()
+    decided = boundary.decisions(boundary.signals(per_second(fight(spark, (1, 2)))), config)
+    merged = segments.merge(segments.events(segments.close_segments(decided, config)), config)
+    got = [r for r in segments.numbered(merged).orderBy("video_id", "event_id").collect() if r.video_id == 1]
+    assert [(r.event_id, r.start_ms, r.end_ms, r.boundary_reason, r.confidence) for r in got] == [
+        (0, 0.0, 30000.0, "motion_spike", 0.85),
+        (1, 30000.0, 69000.0, "scene_change", 0.95),
+        (2, 69000.0, 80000.0, "stream_end", 0.5),
+    ]
+    assert [round(r.importance, 4) for r in got] == [0.14, 0.4663, 0.137]
+    assert [r.event_type for r in got][:2] == ["Dialogue", "Action"]
+    assert got[0].summary == "Dialogue event in unknown, character data unavailable" and got[0].max_characters_seen is None
+
+
+def test_scores(spark):
+    w = SamplerConfig().weights
+    terms = S.weighted_terms(w, F.lit(0.5), F.lit(True), F.lit(0.8), F.lit(0.3), F.lit(0.6))
+    got = one(spark, i=S.importance(terms), r=S.decision_reason(terms, F.lit(0.68)), low=S.decision_reason(terms, F.lit(0.1)))
+    assert abs(got.i - 0.68) < 1e-12 and got.r == "Scene transition" and got.low == "Static / dialogue"
+    tiers = {0.19: 0.5, 0.2: 1.0, 0.4: 2.0, 0.6: 5.0, 0.8: 10.0}
+    assert all(one(spark, f=S.importance_to_fps(F.lit(x))).f == f for x, f in tiers.items())
+    got = one(spark, a=S.confidence(F.lit(0.9), 0.75, 0.05), b=S.confidence(F.lit(0.75), 0.75, 0.05), c=S.confidence(F.lit(0.35), 0.75, 0.05))
+    assert [round(x, 9) for x in got] == [0.9, 0.6, 0.2]
+    signals = dict.fromkeys(S.SIGNALS, F.lit(0.0)) | {"camera": F.lit(1.0), "dialogue": F.lit(1.0), "music": F.lit(1.0)}
+    weights = SegmenterConfig().weights
+    got = one(spark, x=S.fused_score(signals, weights, F.lit(False)), d=S.dominant_signal(signals, weights, F.lit(False)), n=S.dominant_signal(dict.fromkeys(S.SIGNALS, F.lit(0.0)), weights, F.lit(True)))
+    assert round(got.x, 4) == 0.7778 and got.d == "dialogue" and got.n == "prediction_error"
+
+
+def test_vectors(spark):
+    a = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    got = one(spark, same=vec.cosine_distance(a(1, 2), a(1, 2)), right=vec.cosine_distance(a(1, 0), a(0, 1)), back=vec.cosine_distance(a(1, 0), a(-1, 0)), zero=vec.cosine_distance(a(0, 0), a(1, 0)), unlike=vec.cosine_distance(a(1), a(1, 0)))
+    assert [round(x, 9) for x in got] == [0.0, 0.5, 1.0, 0.0, 0.0]
+    got = one(spark, c=vec.correlation(a(1, 2, 3), a(2, 4, 7)), flat=vec.correlation(a(1, 1), a(1, 2)), f=vec.fuse(a(1, 2), F.lit(None).cast("array<double>"), "mean"))
+    assert round(got.c, 6) == 0.993399 and got.flat is None and got.f == [0.5, 1.0]
+
+
+def test_schedule_matches_fold(spark):
+    rng, rows = random.Random(5), []
+    for v in range(4):
+        t = 0.0
+        for i in range(400):
+            t += rng.choice([20.0, 40.0, 130.0, 700.0, 2500.0])
+            rows.append((v, i, t, rng.choice([0.5, 1.0, 2.0, 5.0, 10.0])))
+    df = spark.createDataFrame(rows, "video_id long, frame_id long, timestamp_ms double, fps double")
+    got = {(r.video_id, r.frame_id) for r in sampler.schedule(df, "video_id", "timestamp_ms", "fps", order=["frame_id"], slice_ms=9000).collect()}
+    want, last = set(), {}
+    for v, i, t, f in rows:
+        if v not in last or t - last[v] >= 1000 / f:
+            want.add((v, i))
+            last[v] = t
+    assert got == want
+    nominal = spark.createDataFrame([(1, i, i * 1000 / 24, 0.5) for i in range(240)], df.schema)
+    assert sampler.schedule(nominal, "video_id", "timestamp_ms", "fps", order=["frame_id"]).count() == 5
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows, t = [], 0.0
+    for i in range(300):
+        t += rng.choice([40.0, 130.0, 900.0])
+        rows.append((1, i, t, rng.choice([1.0, 5.0])))
+    df = spark.createDataFrame(rows, "video_id long, frame_id long, timestamp_ms double, fps double")
+    for k in range(3):
+        df.filter((F.col("frame_id") >= 100 * k) & (F.col("frame_id") < 100 * k + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = schedule_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.frame_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.frame_id for r in sampler.schedule(df, "video_id", "timestamp_ms", "fps", order=["frame_id"]).collect()}
+
+
+def test_gap_fill_and_rows_per_second(spark):
+    rows = [(1, i, 100.0 * i, 1.0, 0.1, False, 0.2, 0.3, None) for i in range(10)] + [(1, 10, 1500.0, 1.0, 0.1, True, 0.2, 0.3, "a"), (1, 11, 4800.0, 1.0, 0.9, False, 0.2, 0.3, "b")]
+    got = per_second(spark.createDataFrame(rows, PACKET)).orderBy("second").collect()
+    assert [r.second for r in got] == [0, 1, 2, 3, 4] and [r.carried for r in got] == [False, False, True, True, False]
+    assert [r.camera_cue for r in got] == [None, "cut", None, None, None] and got[2].dialogue_text == "a" and got[4].action_label == "fast_action"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_force_split_matches_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for v in range(3):
+        for s in range(120):
+            b = rng.random() < 0.06
+            rows.append((v, s, b, rng.choice(["scene", "motion_spike"]) if b and s > 2 else "scene", 0.7, rng.random()))
+    df = spark.createDataFrame(rows, "video_id long, second long, is_boundary boolean, dominant string, boundary_confidence double, fused double")
+    config = SegmenterConfig(maximum_event_s=12.0, minimum_event_s=1.0)
+    got = {(r.video_id, r.second): (r.start_ms, r.end_ms, r.reason) for r in segments.close_segments(df, config).collect()}
+    want = {}
+    for v in range(3):
+        own = [r[1:] for r in rows if r[0] == v]
+        for seconds, start, end, reason, _ in segments.construct(own, 12.0):
+            for s in seconds:
+                want[v, s] = (start * 1000.0, (seconds[-1] if reason is None else end) * 1000.0, reason or "stream_end")
+    assert got == want
+
+
+def test_hold_matches_state_machine(spark):
+    rng, config = random.Random(3), SegmenterConfig(boundary_threshold=0.5)
+    rows = [(1, s, "cut" if rng.random() < 0.05 else None, rng.choice([0.0, 0.0, 1.0]), rng.choice([0.0, 1.0])) for s in range(300)]
+    df = spark.createDataFrame(rows, "video_id long, second long, camera_cue string, dialogue_signal double, music_signal double")
+    df = df.withColumns({f"{k}_signal": F.lit(0.0) for k in S.SIGNALS if k not in ("dialogue", "music")} | {"image_available": F.lit(False), "spike": F.lit(False)})
+    # Three channels with fixed weights give scores around the threshold.
+    weights = {"prediction_error": 0.0, "scene": 0.0, "dialogue": 0.48, "emotion": 0.2, "character": 0.0, "embedding": 0.0, "music": 0.32}
+    config = SegmenterConfig(boundary_threshold=0.47, weights=weights)
+    got = {r.second: r.is_boundary for r in boundary.decisions(df, config).collect()}
+    hold, want = None, {}
+    for _, s, cue, d, m in rows:
+        score = 0.48 * d + 0.32 * m
+        if cue == "cut" or score >= 0.52:
+            want[s], hold = True, None
+        elif score >= 0.42:
+            want[s], hold = (False, s) if hold is None else (True, None)
+        else:
+            want[s] = False
+            if hold is not None and s - hold >= 2:
+                hold = None
+    assert got == want
+
+
+def test_sliced_windows(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.randrange(9)) for k in range(3) for i in sorted(rng.sample(range(200), 60))]
+    df = spark.createDataFrame(rows, "k long, i long, x long")
+    sliced = neighbours(df, "k", ["i"], F.floor(F.col("i") / 7), back=2, ahead=1)
+    got = {(r.k, r.i): (r.prev1 and r.prev1.i, r.prev2 and r.prev2.i, r.next1 and r.next1.i) for r in sliced.collect()}
+    for k in range(3):
+        own = [i for q, i, _ in rows if q == k]
+        for n, i in enumerate(own):
+            at = lambda j: own[j] if 0 <= j < len(own) else None  # noqa: E731, B023
+            assert got[k, i] == (at(n - 1), at(n - 2), at(n + 1))
+    total = {(r.k, r.i): r.s for r in running_sum(df, "k", ["i"], F.floor(F.col("i") / 7), F.col("x"), "s").collect()}
+    assert all(total[k, i] == sum(x for q, j, x in rows if q == k and j <= i) for k, i, _ in rows)
+
+
+def test_people(spark):
+    names = [people.person_label(k) for k in (0, 25, 26)]
+    assert names == ["Person A", "Person Z", "Person 27"]
+    eye = [[1.0 if i == j else 0.0 for j in range(40)] for i in range(30)]
+    faces = spark.createDataFrame([(1, i, v) for i, v in enumerate(eye)] + [(1, 30, eye[3])], "video_id long, at long, face array<double>")
+    got = {r.at: r.label for r in people.online_clusters(faces, "video_id", ["at"], "face", limit=0.01).collect()}
+    assert got[26] == "Person 27" and got[30] == got[3] == "Person D"
+    lines = {"Dev!": ("Dev", "high"), "Are you home, Dev?": ("Dev", "medium"), "Wait!": None, "": None, "so it goes": None}
+    for line, want in lines.items():
+        m = one(spark, m=X.vocative(F.lit(line))).m
+        assert (m and (m["name"], m["confidence"])) == want
+
+
+def test_votes_and_relabel(spark):
+    e = spark.createDataFrame(
+        [(1, 0, ["Person A"], "Dev!", "Person A waits"), (1, 1, ["Person A"], "Dev.", "x"), (1, 2, ["Person A"], "Manky!", "x"), (1, 3, ["Person A", "Person B"], "Tom!", "Person B"), (2, 0, ["Person A"], "Ann!", "q"), (2, 1, ["Person A"], "Bob!", "q"), (3, 0, None, None, None)],
+        "video_id long, event_id long, character_labels array<string>, dialogue_text string, summary string",
+    )
+    names = people.resolved_names(people.name_votes(e))
+    assert [tuple(r) for r in names.collect()] == [(1, "Person A", "Dev")]
+    got = {(r.video_id, r.event_id): (r.character_labels, r.summary) for r in people.relabel(e, names).collect()}
+    assert got[1, 0] == (["Dev"], "Dev waits") and got[1, 3] == (["Dev", "Person B"], "Person B") and got[3, 0] == (None, None)
+
+
+def test_text(spark):
+    got = one(spark, a=X.clock(F.lit(3_661_999.0)), b=X.srt_time(F.lit(61_001.9)), c=X.parse_time(F.lit("01:02.5")), d=X.parse_time(F.lit("junk")), e=X.accepted_text(F.lit("Let me know if you need more"), F.lit("T")), f=X.capitalised(F.lit("living ROOM")))
+    assert list(got) == ["01:01:01", "00:01:01,001", 62500.0, 0.0, "T", "Living room"]
+
+
+def test_boundary_scores(spark):
+    p = spark.createDataFrame([(1, 0.0), (1, 1500.0), (1, 9000.0)], "video_id long, at double")
+    t = spark.createDataFrame([(1, 100.0), (1, 5000.0)], "video_id long, at double")
+    r = quality.boundary_matches(p, t).first()
+    assert (r.tp, r.precision, r.recall) == (1, 0.3333, 0.5)
+
+
+def test_settings(tmp_path):
+    (tmp_path / "s.yaml").write_text("minimum_event_duration: 7\nconfidence_margin: 0.1\nconfidence_hold_seconds: 3\n")
+    c = load(SegmenterConfig, str(tmp_path / "s.yaml"), boundary_threshold=0.5)
+    assert (c.minimum_event_s, c.margin, c.hold_ms, c.boundary_threshold) == (7.0, 0.1, 3000.0, 0.5)
+    with pytest.raises(ValueError):
+        SamplerConfig(minimum_fps=20.0)
+    with pytest.raises(ValueError):
+        load(SamplerConfig, None, nonsense=1)
+
+
+def test_pixels():
+    import numpy as np
+
+    from cinemill.operators import pixels as P
+
+    rng = np.random.default_rng(42)
+    noise, black = rng.integers(0, 256, (96, 128, 3), dtype=np.uint8), np.zeros((96, 128, 3), np.uint8)
+    assert P.histogram(noise).shape == (192,) and P.hash_embedding(noise).shape == (160,)
+    assert P.ssim_distance(P.thumbnail(noise), P.thumbnail(noise)) < 1e-9 < P.ssim_distance(P.thumbnail(noise), P.thumbnail(black))
+    assert P.laplacian_variance(P.gray(black)) < 50 < P.laplacian_variance(P.gray(noise)) and P.heuristic_scene(black) == "unknown"
+    smooth = P.area_resize(P.gray(noise), 24, 32).repeat(3, 0).repeat(3, 1)
+    assert P.motion(smooth, smooth) < 0.02 < P.motion(smooth, np.roll(smooth, 3, axis=1))
+    assert P.edge_difference(smooth, smooth) == 0.0 and P.thumbnail(np.zeros((200, 300, 3), np.uint8)).shape == (90, 135)
+
+
+def test_tables_are_there(spark):
+    assert table(spark, "/root/testdata/sf0.001", "region").count() == 5
