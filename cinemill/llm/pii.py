@@ -84,6 +84,13 @@ _DIGITS = regex.compile(
     r"(?:\+[0-9]{1,3}[ .\-/]?)?(?:\([0-9]{1,5}\)[ .\-/]?)?(?:[A-Z]{1,3}[ ]?)?[0-9]{1,8}(?:[ .\-/][0-9]{2,6}|[A-Z][0-9]{3,6})*(?:-?[A-Z](?!\p{L})|(?<=[A-Z]{2} [0-9 ]+) [A-Z](?!\p{L}))?"
     r"(?![\p{L}\p{N}@])(?![.:/,x-][0-9])"
 )
+#: What must be near: cheap searches that say where the costly patterns can match at all.
+_AT = regex.compile(r"@|[\[({](?i:at)[\])}]")
+_NUMBER = regex.compile(r"[0-9]+")
+_STREET_WORD = regex.compile(rf"(?i:(?<!\p{{L}})(?:{_EN_STREETS}|{_FR_STREETS})(?!\p{{L}})|(?<!\p{{L}})(?:{_ES_STREETS})|(?:{_DE_STREETS})\s{{1,3}}[0-9])")
+_LONG = regex.compile(r"[0-9][0-9A-Z ().\-/]{3,}")
+#: How far around such a place a piece can reach, in characters; a street's type stands within the last.
+_EMAIL_REACH, _STREET_REACH, _DIGIT_REACH, _TYPE_REACH = 120, 90, 16, 48
 _SSN = regex.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}")
 
 
@@ -122,15 +129,30 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(map(number, left)), " ".join(map(number, right[:2]))
 
 
+def _around(pattern, text: str, places: Iterator[tuple[int, int]], reach: int):
+    """The matches of ``pattern`` that lie within ``reach`` characters of the given places, in order, each once."""
+    spans: list[list[int]] = []
+    for a, b in places:
+        if spans and a - reach <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b + reach)
+        else:
+            spans.append([max(0, a - reach), b + reach])
+    for start, stop in spans:
+        for m in pattern.finditer(text, start, stop):
+            # A match that the window's end may have cut is made again without it.
+            yield (pattern.match(text, m.start()) or m) if m.end() >= stop - 2 else m
+
+
 def mine(text: str, words: Counter) -> Iterator[tuple]:
     """(start, end, kind, shape, seed, left, right, first, second) of every occurrence; counts words by case."""
-    letters = [c for c in text[:4000] if c.isalpha()]
-    loud = len(letters) > 20 and sum(c.isupper() for c in letters) > 0.8 * len(letters)
+    big, little = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    loud = big + little > 20 and big > 4 * little
     small: set[str] = set()
     if not loud:
-        for w in _PLAIN.findall(text):
-            words[(w.lower(), w[0].islower())] += 1
-            if w[0].islower():
+        for w, n in Counter(_PLAIN.findall(text)).items():
+            low = w[0].islower()
+            words[(w.lower(), low)] += n
+            if low:
                 small.add(w)
     taken = bytearray(len(text))
 
@@ -141,11 +163,13 @@ def mine(text: str, words: Counter) -> Iterator[tuple]:
         return not any(taken[a:b])
 
     found = []
-    for m in _EMAIL.finditer(text):
+    for m in _around(_EMAIL, text, (m.span() for m in _AT.finditer(text)), _EMAIL_REACH):
         form = "plain" if m["at"] == "@" and not regex.search(r"[\[({\s]", m[0]) else "written out " + regex.sub(r"[\p{L}\p{N}]+", "a", m["at"].lower())
         found.append((m.start(), m.end(), "email", form, form == "plain"))
         take(*m.span())
-    for m in _STREET.finditer(text):
+    numbers = (m.span() for m in _NUMBER.finditer(text))
+    streets = (n for n in numbers if _STREET_WORD.search(text, max(0, n[0] - _TYPE_REACH), n[1] + _TYPE_REACH))
+    for m in _around(_STREET, text, streets, _STREET_REACH):
         a, b = m.span()
         if tail := _TAIL.match(text, b):
             b = tail.end()
@@ -154,7 +178,7 @@ def mine(text: str, words: Counter) -> Iterator[tuple]:
             word = regex.search({"en": rf"({_EN_STREETS})$", "fr": f"({_FR_STREETS})", "de": f"({_DE_STREETS})", "es": f"({_ES_STREETS})"}[form], m[0], regex.I)
             found.append((a, b, "street_address", f"{form} {word[0].lower() if word else ''}", form in ("en", "es") or word is not None))
             take(a, b)
-    for m in _DIGITS.finditer(text):
+    for m in _around(_DIGITS, text, (m.span() for m in _LONG.finditer(text)), _DIGIT_REACH):
         if free(*m.span()) and (what := _digit_kind(m[0])):
             found.append((*m.span(), what[0], _shape(m[0]), what[1]))
             if what[0] != "other":
