@@ -100,7 +100,8 @@ def subtitle_density(frames: DataFrame, cues: DataFrame, key: str, time: str, *,
     left = frames.select(key, *id_, F.col(time).alias("_t")).withColumn("slot", F.floor(F.col("_t") / slot_ms))
     met = left.join(slots.select(key, "slot", "start_ms", "end_ms"), [key, "slot"], "left")
     overlap = F.least(F.col("end_ms"), F.col("_t") + window_ms) - F.greatest(F.col("start_ms"), F.col("_t"))
-    return met.groupBy(key, *id_).agg(F.coalesce(S.clip(F.sum(F.greatest(overlap, F.lit(0.0))) / window_ms), F.lit(0.0)).alias("density"))
+    covered = F.sum(F.when(F.col("start_ms").isNotNull(), F.greatest(overlap, F.lit(0.0))))
+    return met.groupBy(key, *id_).agg(S.clip(F.coalesce(covered, F.lit(0.0)) / window_ms).alias("density"))
 
 
 def clean_cues(cues: DataFrame) -> DataFrame:
