@@ -129,6 +129,30 @@ def test_vector_clusters(spark, tile):
     assert len({r.cluster_key for r in got if r.typical and r.video == 1}) == 12 == sum(r.typical for r in got if r.video == 1)
 
 
+def test_vector_clusters_dense_tiles(spark):
+    """A dense part over tiles: faces that hang on one outlier of a group, pairs and lone faces come out as by brute force."""
+    rng = np.random.default_rng(5)
+    frames = np.linalg.qr(rng.standard_normal((DIMS, DIMS)))[0].T
+    p = clusters.Density(tile=300, sample=400, shared=4, reduced=1)
+    noise = lambda n: 0.2 * rng.standard_normal((n, DIMS)) / np.sqrt(DIMS)
+    groups = np.concatenate([frames[c] + noise(100) for c in range(8)])
+    outliers = 0.75 * frames[:8] + 0.66 * frames[8:16]
+    hanging = 0.75 * outliers + 0.66 * frames[16:24]
+    pairs = np.repeat(frames[24:84], 2, axis=0) + noise(120)
+    x = np.concatenate([groups, pairs, frames[84:112], outliers, hanging])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"{i:04d}" for i in range(len(x))]
+    label = clusters.linked_components(x, p.link)
+    least = {c: min(n for n, k in zip(names, label) if k == c) for c in set(label)}
+    want = {n: least[c] if c >= 0 else n for n, c in zip(names, label)}
+    assert len(set(want.values())) == 8 + 60 + 28
+    df = spark.createDataFrame([(7, n, [float(z) for z in v]) for n, v in zip(names, x)], "video long, key string, face array<double>")
+    got = clusters.vector_clusters(df, "video", "key", "face", params=p).collect()
+    assert {r.member: r.cluster_key for r in got} == want and len(got) == len(x)
+    joined = {r.member: r.typicality for r in got if r.cluster_size == 2}
+    assert len(joined) == 120 and max(joined.values()) < 0.9999
+
+
 def test_spelling_clusters(spark):
     groups = [["Person 27", "PERSON 27", "Person_27", '"Person 27"', "Person 27 (voice)", "[Person 27]"], ["Person 28"], ["Person B", "person b."], ["Person A"]]
     groups += [["Hunnaelgra", "Hnunaelgra", "hunnaaelgra", "HUNNAELGRA (off)", "Hunnelgra"], ["Starvtrivuk", "Strvtrivuk"], ["Ann"], ["Ana"], ["", "  ", "?!"]]
