@@ -11,7 +11,7 @@ Limits hang on the document's length, as a frame's fixed bytes weigh more in a s
 whose phrase ratio is beyond the limit of its band can't reach the asked share of repeated words: with
 share ``s`` of ``n`` words repeated in runs of at least ``run`` words, zstandard needs at most
 ``4 n (1 - s)`` bytes of literals, about 5 bytes for each of at most ``s n / run`` matches, and 24 bytes
-of frame. Only the others get the exact count, which is linear.
+of frame. Only the others can be repetitive. The exact count, which is linear, is made for every text.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Bands:
     noisy: tuple[float, ...] = (1.30, 1.15, 1.05, 0.95, 0.90, 0.85, 0.80)
     level: int = 3
     phrase_level: int = 19
-    #: Beyond so many words the strong level is slow and the exact count, which is linear, is made at once.
+    #: Beyond so many words the strong level is slow and the exact count alone decides.
     exact_above: int = 200_000
 
     def band(self, n: int) -> int:
@@ -96,17 +96,17 @@ def measure_text(text: str | None, p: Bands, packers) -> tuple:
     starts = range(0, max(1, len(raw) - p.chunk_bytes // 2), p.chunk_bytes)
     ends = [*starts[1:], len(raw)]
     chunks = [len(plain.compress(raw[a:b])) / (b - a) for a, b in zip(starts, ends)] if len(starts) > 1 else [whole]
+    count = repeated_words(words, p.run)
+    share = count / n if n else 0.0
     if band < 0 or n < p.least_words:
-        return (n, len(raw), band, whole, min(chunks), max(chunks), None, None, False, False, None, None, False)
-    ratio = limit = count = share = None
+        return (n, len(raw), band, whole, min(chunks), max(chunks), None, None, False, False, count, share, False)
+    ratio = limit = None
     if n <= p.exact_above:
         ratio, limit = _phrase_ratio(words, strong), p.limit(n)
-    if ratio is None or ratio <= limit:
-        count = repeated_words(words, p.run)
-        share = count / n
+    reached = ratio is None or ratio <= limit
     return (
         *(n, len(raw), band, whole, min(chunks), max(chunks), ratio, limit, min(chunks) < p.regular[band], max(chunks) > p.noisy[band]),
-        *(count, share, count is not None and count >= p.share * n - 1e-9),
+        *(count, share, reached and count >= p.share * n - 1e-9),
     )
 
 
@@ -115,8 +115,8 @@ def compression_bands(df: DataFrame, keys: list[str], text: str, bands: Bands |
 
     ``too_regular`` and ``too_noisy`` are the verdicts of the text ratio over chunks by length band;
     ``repetitive`` says that at least ``share`` of the words are repeated. ``repeated_words`` and
-    ``repeated_share`` are NULL where the phrase ratio rules that share out, and for texts of fewer words
-    than ``least_words``, which are never repetitive. NULL and empty texts have 0 words and no ratios.
+    ``repeated_share`` are exact for every text; those of fewer words than ``least_words`` are never
+    repetitive. NULL and empty texts have 0 words and no ratios.
     Repeated rows stay; columns other than ``keys`` are left out, and measures whose name is a key's get
     an underscore. A text is read whole, whatever its length.
     """

@@ -49,6 +49,20 @@ def test_repetition_bands_lose_nothing():
     assert found > 100
 
 
+def test_repetition_share_of_every_text():
+    import zstandard
+
+    rng, p = random.Random(3), repetition.Bands()
+    packers = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=19)
+    low = 0
+    for text in [random_text(rng, n, 0.5) for n in (3, 8, 11, 12, 60, 120, 700) * 30] + ["", "?!", "a b c d a b c d"]:
+        n, repeated = share(text)
+        got = repetition.measure_text(text, p, packers)
+        assert got[-3:-1] == (repeated, repeated / n if n else 0.0)
+        low += 0 < 20 * repeated < 7 * n
+    assert low > 20
+
+
 def test_repetition_odd_rows(spark):
     long = "the same words come again " * 60_000
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "one two", None), (4, long, "x"), (4, long, "x")], "n_words long, text string, band string")
