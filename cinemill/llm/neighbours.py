@@ -159,7 +159,7 @@ def nearest(df: DataFrame, keys: list[str], vector: str, *, dims: int = 160, k:
     spark = df.sparkSession
     key_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keys])
     base = df.filter(usable(vector, dims)).select(F.struct(*keys).alias("key"), F.xxhash64(*keys).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    rows = df.count()
+    rows = base.count()
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,12 +167,14 @@ def nearest(df: DataFrame, keys: list[str], vector: str, *, dims: int = 160, k:
 
     fraction = min(1.0, p.sample / max(rows, 1))
     picked = base.select("v").sample(fraction, seed=p.seed).mapInArrow(raw, "v binary").limit(2 * p.sample).collect()
+    if rows and not picked:  # chance may leave a small sample empty
+        picked = base.select("v").limit(p.sample).mapInArrow(raw, "v binary").collect()
     counts, size = Counter(r.v for r in picked), len(picked)
     del picked
     values = np.frombuffer(b"".join(counts), dtype=np.float32).reshape(-1, dims)
-    if not size:  # a small table whose sample is empty has fraction 1, so it has no usable vector
+    if not size:  # no usable vector
         return spark.createDataFrame([], T.StructType([T.StructField("q", key_type), T.StructField("n", key_type), T.StructField("cosine", T.FloatType())]))
-    n = size / fraction
+    n = rows
     heavy = {v for v, times in counts.items() if times >= max(4 * k, p.heavy * size)}
     del counts
     cells = int(min(max(1, round(n / p.cell)), p.most_cells, len(values)))

@@ -104,6 +104,15 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert neighbours.nearest(df.filter("key = 7"), ["video", "key"], "vector").count() == 0
 
 
+@pytest.mark.parametrize("sample", [50, 1])
+def test_neighbours_few_usable(spark, sample):
+    """A large table of which few rows are usable keeps all their neighbours, also where chance leaves the sample empty."""
+    x = np.random.default_rng(6).standard_normal((12, DIMS))
+    odd = [(1, 100 + i, None if i % 2 else [0.0] * DIMS, "") for i in range(3000)]
+    got = neighbours.nearest(vector_table(spark, x, odd), ["video", "key"], "vector", index=neighbours.Index(sample=sample, seed=0)).collect()
+    assert {(r.q.key, sum(o.q.key == r.q.key for o in got)) for r in got} == {(i, 5) for i in range(12)}
+
+
 def test_neighbours_hot_copies(spark):
     """A third of all rows is one vector: its copies find each other, and others find the first of them."""
     rng = np.random.default_rng(1)
