@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from cinemill.llm import clusters, leakage, neighbours, packing, pii, ranking, repetition
+from cinemill.llm import clusters, leakage, neighbours, packing, pii, queries, ranking, repetition
 
 DIMS = 160
 
@@ -104,6 +104,20 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert neighbours.nearest(df.filter("key = 7"), ["video", "key"], "vector").count() == 0
 
 
+def test_knn_recall_of_spread_vectors(spark, tmp_path):
+    """Vectors without close partners, as most are: p2_knn still has nine tenths of the five nearest."""
+    x = np.random.default_rng(8).standard_normal((4000, DIMS))
+    rows = [(1, i, [float(z) for z in v]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "video_id long, event_id long, event_embedding array<float>").write.parquet(f"{tmp_path}/video_event.parquet")
+    spark.createDataFrame([(1, 0.0, None)], "video_id long, timestamp_ms double, multimodal_embedding array<float>").write.parquet(f"{tmp_path}/temporal_feature.parquet")
+    got = {(r.item_key, r.near_key) for r in queries.p2_knn(spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert sum((i, j) in got for i in range(4000) for j in want[i]) / 20_000 >= 0.9
+
+
 @pytest.mark.parametrize("sample", [50, 1])
 def test_neighbours_few_usable(spark, sample):
     """A large table of which few rows are usable keeps all their neighbours, also where chance leaves the sample empty."""
