@@ -111,17 +111,18 @@ def event_scores(spark, folder, slot_ms: int = 60_000):
     )
 
 
-def _ranked(spark, folder):
+def _ranked(spark, folder, least_group: int):
     scores = ["motion_score", "audio_energy", "novelty_score", "importance"]
-    return ideal_point_ranking(event_scores(spark, folder), ["video_id", "hour"], ["event_id"], scores, least_group=10)
+    return ideal_point_ranking(event_scores(spark, folder), ["video_id", "hour"], ["event_id"], scores, least_group=least_group)
 
 
 def p5_ranking(spark, folder):
-    return _ranked(spark, folder)
+    """Every event with all four scores, in groups of any size."""
+    return _ranked(spark, folder, 1)
 
 
 def p5_found(spark, folder):
-    return _ranked(spark, folder).filter("in_top").select("video_id", "event_id")
+    return _ranked(spark, folder, 10).filter("in_top").select("video_id", "event_id")
 
 
 def _packed(spark, folder):

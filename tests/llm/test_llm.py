@@ -220,6 +220,17 @@ def test_ranking_against_brute_force(spark):
     assert ranking.ideal_point_ranking(df.limit(0), ["g"], ["i"], ["a"]).count() == 0
 
 
+def test_ranking_of_small_groups(spark, tmp_path):
+    """p5_ranking ranks groups of any size, p5_found those of ten and more."""
+    events = [(v, i, 1000.0 * i, 1000.0 * i + 1000, 0.1 * i) for v, n in ((1, 3), (2, 12)) for i in range(n)]
+    packets = [(v, start, 0.01 * i, 0.02 * i, 0.03 * i) for v, i, start, _, _ in events]
+    spark.createDataFrame(events, "video_id long, event_id long, start_time_ms double, end_time_ms double, importance double").write.parquet(f"{tmp_path}/video_event.parquet")
+    spark.createDataFrame(packets, "video_id long, timestamp_ms double, motion_score double, audio_energy double, novelty_score double").write.parquet(f"{tmp_path}/frame_packet.parquet")
+    got = {(r.video_id, r.event_id): r.place for r in queries.p5_ranking(spark, str(tmp_path)).collect()}
+    assert set(got) == {e[:2] for e in events} and got[1, 2] == 1 and got[2, 11] == 1
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == {(2, 9), (2, 10), (2, 11)}
+
+
 # ---- 6 ------------------------------------------------------------------------------------------
 
 
