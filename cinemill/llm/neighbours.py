@@ -133,8 +133,13 @@ def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.nda
         floor = np.full(len(q), least, dtype=np.float32)
         if len(data) > k:
             floor = np.maximum(floor, np.partition(estimate - error, len(data) - k, axis=1)[:, len(data) - k])
-        rows, columns = np.nonzero((estimate + error >= floor[:, None]) & (estimate > -8))
-        cosine = np.concatenate(
+        close = (estimate + error >= floor[:, None]) & (estimate > -8)
+        if dense := close.mean() > 0.02:  # one product is quicker than so many single cosines, and few go on to the sort
+            every = np.where(close, full[q] @ full[data].T, np.float32(-9))
+            if len(data) > k:
+                close &= every >= np.partition(every, len(data) - k, axis=1)[:, len(data) - k][:, None]
+        rows, columns = np.nonzero(close)
+        cosine = every[rows, columns] if dense else np.concatenate(
             [np.einsum("ij,ij->i", full[q[rows[i : i + 65536]]], full[data[columns[i : i + 65536]]]) for i in range(0, len(rows), 65536)] or [np.empty(0, np.float32)]
         )
         keep = cosine >= least
