@@ -145,8 +145,8 @@ def p7_found(spark, folder):
     return p7_spans(spark, folder).select("doc_id", "item_id")
 
 
-def _personal(spark, folder):
-    return find_personal(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "person_name"), "name_text", "name_kind")
+def _personal(spark, folder, **how):
+    return find_personal(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "person_name"), "name_text", "name_kind", **how)
 
 
 def p8_found(spark, folder):
@@ -156,7 +156,7 @@ def p8_found(spark, folder):
 def p8_redacted(spark, folder):
     """The texts with a typed placeholder in place of every piece of personal data."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return redact(documents, "doc_id", "text", _personal(spark, folder))
+    return redact(documents, "doc_id", "text", _personal(spark, folder, with_hash=True), text_hash="hash")
 
 
 QUERIES = {
