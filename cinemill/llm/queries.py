@@ -67,20 +67,27 @@ def p2_found(spark, folder, least: float = 0.9, k: int = 5):
     return parts[0].unionByName(parts[1]).distinct()
 
 
-def p3_clusters(spark, folder):
-    """Every face and every spelling with its cluster's key, size and most typical members."""
+def _faces_and_labels(spark, folder):
     seconds = table(spark, folder, "temporal_feature").filter(F.size("face_embeddings") > 0)
     faces = seconds.select("video_id", F.floor(F.col("timestamp_ms") / 1000).alias("second"), F.posexplode("face_embeddings").alias("place", "face"))
     faces = faces.select("video_id", F.format_string("%08d-%d", "second", "place").alias("member"), "face")
-    labels = table(spark, folder, "video_event").select("video_id", F.explode("character_labels").alias("label"))
-    columns = ["video_id", "member", "cluster_key", "cluster_size", "typical"]
+    return faces, table(spark, folder, "video_event").select("video_id", F.explode("character_labels").alias("label"))
+
+
+def p3_clusters(spark, folder):
+    """Every face and every spelling with its cluster's key and size; the most typical members have a place."""
+    faces, labels = _faces_and_labels(spark, folder)
+    columns = ["video_id", "member", "cluster_key", "cluster_size", "typical", "typical_place"]
     return vector_clusters(faces, "video_id", "member", "face").select(F.lit("face").alias("item_kind"), *columns).unionByName(
         spelling_clusters(labels, "video_id", "label").select(F.lit("label").alias("item_kind"), *columns)
     )
 
 
 def p3_found(spark, folder):
-    return p3_clusters(spark, folder).select("item_kind", "video_id", F.col("member").alias("member_key"), "cluster_key")
+    faces, labels = _faces_and_labels(spark, folder)
+    both = ((vector_clusters(faces, "video_id", "member", "face", describe=False), "face"), (spelling_clusters(labels, "video_id", "label"), "label"))
+    found = [df.select(F.lit(kind).alias("item_kind"), "video_id", F.col("member").alias("member_key"), "cluster_key") for df, kind in both]
+    return found[0].unionByName(found[1])
 
 
 def event_scores(spark, folder, slot_ms: int = 60_000):

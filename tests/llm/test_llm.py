@@ -190,6 +190,86 @@ def test_vector_clusters_dense_tiles(spark):
     assert len(joined) == 120 and max(joined.values()) < 0.9999
 
 
+def dbscan(x, names, link, least):
+    """Cluster keys by brute force: linked core points, border points with the smallest key, others alone."""
+    linked = x @ x.T >= link
+    core = linked.sum(1) >= least
+    label = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            front = [i]
+            while front:
+                j = front.pop()
+                if label[j] < 0:
+                    label[j] = i
+                    front += [int(k) for k in np.flatnonzero(linked[j] & core & (label < 0))]
+    reach = [{label[j] for j in np.flatnonzero(linked[i] & core)} for i in range(len(x))]
+    first = {}
+    for n, r in zip(names, reach):
+        for c in r:
+            first[c] = min(n, first.get(c, n))
+    where = [min(r, key=first.get) if r else None for r in reach]
+    key = {}
+    for n, c in zip(names, where):
+        if c is not None:
+            key[c] = min(n, key.get(c, n))
+    return {n: key[c] if c is not None else n for n, c in zip(names, where)}
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_density_with_core_and_border_points(spark, least):
+    """Dense groups, a chain, border points and noise in a space of many tiles are those of brute force."""
+    rng = np.random.default_rng(12)
+    frames = np.linalg.qr(rng.standard_normal((DIMS, DIMS)))[0].T
+    noise = lambda n, s: s * rng.standard_normal((n, DIMS)) / np.sqrt(DIMS)
+    dense = np.concatenate([frames[c] + noise(n, 0.45) for c, n in enumerate((1300, 300, 250, 40, 4, 3, 2))])
+    steps = np.linspace(0, np.pi / 2, 25)
+    chain = np.concatenate([np.outer(np.cos(steps), frames[20 + k]) + np.outer(np.sin(steps), frames[21 + k]) for k in range(4)]) + noise(100, 0.5)
+    border = 0.62 * frames[:3] + 0.78 * frames[60:63] + noise(3, 0.1)
+    between = (frames[1] + frames[2])[None] / np.sqrt(2) + noise(1, 0.05)
+    x = np.concatenate([dense, chain, border, between, rng.standard_normal((60, DIMS))])
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)  # as the operator keeps them
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    names = [f"{i:05d}" for i in rng.permutation(len(x))]
+    p = clusters.Density(link=0.65, min_points=least, tile=500, sample=600, shared=20, cells=4)
+    df = spark.createDataFrame([(7, n, [float(z) for z in v]) for n, v in zip(names, x)], "video long, key string, face array<double>")
+    want = dbscan(u, names, p.link, least)
+    for broadcast in (p.most_broadcast, 0):
+        how = clusters.Density(**{**p.__dict__, "most_broadcast": broadcast})
+        got = clusters.vector_clusters(df, "video", "key", "face", params=how).collect()
+        assert {r.member: r.cluster_key for r in got} == want and len(got) == len(x)
+    at = {n: i for i, n in enumerate(names)}
+    for key in {r.cluster_key for r in got if r.cluster_size > 3}:
+        own = sorted(r.member for r in got if r.cluster_key == key)
+        mean = (u[[at[n] for n in own]] @ u[[at[n] for n in own]].T).mean(1)
+        mine = sorted((r for r in got if r.cluster_key == key and r.typical_place), key=lambda r: r.typical_place)
+        assert len(mine) == 3 and [r.typical for r in mine] == [True, False, False]
+        best = np.sort(mean)[::-1]
+        assert all(abs(r.typicality - mean[own.index(r.member)]) < 1e-3 and r.typicality >= best[k] - 1e-3 for k, r in enumerate(mine))
+
+
+def test_marks_meet_wherever_slips_allow():
+    rng = random.Random(5)
+    for _ in range(4000):
+        a = "".join(rng.choices("abcde", k=rng.choice([4, 5, 7, 12, 14, 15, 16, 17, 18, 19, 30, 60])))
+        b = list(a)
+        for _ in range(rng.choice([1, 2, 2])):
+            i = rng.randrange(len(b))
+            kind = rng.randrange(4)
+            if kind == 0:
+                b.insert(i, rng.choice("abcde"))
+            elif kind == 1 and len(b) > 1:
+                del b[i]
+            elif kind == 2:
+                b[i] = rng.choice("abcde")
+            elif i + 1 < len(b):
+                b[i], b[i + 1] = b[i + 1], b[i]
+        b = "".join(b)
+        if clusters.slips(a, b, 2):
+            assert clusters.marks(a, 2) & clusters.marks(b, 2)
+    assert len(clusters.marks("x" * 5000, 2)) < 200
+
+
 def test_spelling_clusters(spark):
     groups = [["Person 27", "PERSON 27", "Person_27", '"Person 27"', "Person 27 (voice)", "[Person 27]"], ["Person 28"], ["Person B", "person b."], ["Person A"]]
     groups += [["Hunnaelgra", "Hnunaelgra", "hunnaaelgra", "HUNNAELGRA (off)", "Hunnelgra"], ["Starvtrivuk", "Strvtrivuk"], ["Ann"], ["Ana"], ["", "  ", "?!"]]
@@ -331,3 +411,54 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, "Mail a@b.test or call."), (2, None), (3, "plain")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 5, 13, "email")], "doc_id long, start int, stop int, kind string")
     assert {r.doc_id: r.text for r in pii.redact(df, "doc_id", "text", spans).collect()} == {1: "Mail [EMAIL] or call.", 2: None, 3: "plain"}
+
+
+def written_corpus(n, seed):
+    """``n`` texts with names and numbers in their contexts, and capital pairs that are none: (texts, true pairs by kind)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    given, family = [word() + "a" for _ in range(60)], [word() + "sen" for _ in range(60)]
+    frames = ["Credits: camera by {}, third row.", "According to {}, the cue was late.", "The last to leave at night was {}.", "{} asked us to wait."]
+    other = ["He sets down a Schachtel Filmrollen im Hof.", "Neither Falmo nor Zarko opens the gate.", "Golden {f} runs 96 minutes.", "The {f} lens was soft.", "Cut to a Schachtel Filmrollen near the door.", "The Schachtel Filmrollen stands on the beach.", "We saw a Schachtel Filmrollen asked us to wait."]
+    rows, truth = [], set()
+    for i in range(n):
+        parts = [rng.choice(other).format(f=rng.choice(family)) for _ in range(3)]
+        if rng.random() < 0.5:
+            name = f"{rng.choice(given)} {rng.choice(family)}"
+            parts.insert(rng.randrange(4), rng.choice(frames).format(name))
+            truth.add((i, "name", name))
+        if rng.random() < 0.3:
+            phone = f"+44 {rng.randrange(1000, 9999)} {rng.randrange(100000, 999999)}"
+            parts.append(f"Call {phone} today.")
+            truth.add((i, "phone", phone))
+        rows.append((i, " ".join(parts)))
+    known = [(g, "given") for g in given[:40]] + [(f, "family") for f in family[:40]]
+    return rows, truth, known
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_personal_data_at_every_size(spark, n):
+    """The same texts ten times as many: precision and recall stay."""
+    rows, truth, known = written_corpus(n, 3)
+    df = spark.createDataFrame(rows, "id long, body string")
+    names = spark.createDataFrame(known, "part string, role string")
+    got = {(r.id, r.kind, r.text) for r in pii.find_personal(df, "id", "body", names, "part", "role").collect()}
+    for kind in ("name", "phone"):
+        own, want = {g for g in got if g[1] == kind}, {t for t in truth if t[1] == kind}
+        assert len(own & want) >= 0.98 * len(want) and len(own & want) >= 0.98 * len(own), (kind, len(own), len(want), sorted(own - want)[:5])
+
+
+def test_personal_data_far_apart_and_repeated_keys(spark):
+    """Pieces far longer than usual, overlaps, and one key with two texts."""
+    long = "x" * 3000
+    texts = [(1, f"Write to {long}@{long}.test now."), (1, "Call +44 1632 960145 today."), (2, f"Return to 12 {'Bo' + 'b' * 200} Lane today."), (None, "Call +44 1632 960145")]
+    df = spark.createDataFrame(texts, "id long, body string")
+    names = spark.createDataFrame([], "part string, role string")
+    found = pii.find_personal(df, "id", "body", names, "part", "role", with_hash=True)
+    got = {(r.id, r.kind, r.text) for r in found.collect()}
+    assert got == {(1, "email", f"{long}@{long}.test"), (1, "phone", "+44 1632 960145"), (2, "street_address", f"12 {'Bo' + 'b' * 200} Lane")}
+    clean = {r.body for r in pii.redact(df, "id", "body", found, text_hash="hash").collect()}
+    assert clean == {"Write to [EMAIL] now.", "Call [PHONE] today.", "Return to [STREET_ADDRESS] today.", "Call +44 1632 960145"}
+    spans = [("a", 1, 0, 5, "name", "p", 3.0), ("a", 1, 4, 9, "name", "q", 2.0), ("a", 1, 8, 12, "name", "r", 1.0), ("b", 1, 0, 5, "name", "p", 3.0)]
+    rows = spark.createDataFrame(spans, "doc string, hash long, start int, stop int, kind string, text string, sure double")
+    assert {(r.doc, r.text) for r in pii.apart(rows).collect()} == {("a", "p"), ("a", "r"), ("b", "p")}
