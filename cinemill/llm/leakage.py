@@ -3,8 +3,8 @@
 The hashes of all runs of ``k`` words are taken and the smallest of every ``window`` consecutive ones is
 kept; a span of ``k + window - 1`` words that two texts share puts an equal fingerprint into both. With
 k = 4 and window = 2 that is every shared run of five words, so nothing that the five-word measure counts
-escapes. A document with a common fingerprint is then extended: its five-word sequences are
-held against those of the items.
+escapes. In a document with a common fingerprint the hits are then extended: its five-word sequences are held
+against those of the items, and those that follow one another in both texts make a run, the shared span.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Winnow:
-    """Parameters. ``most_broadcast``: with at most so many test sequences (8 bytes each) they are sent to
-    every worker; more of them are joined by a shuffle instead."""
+    """Parameters. ``most_broadcast``: with at most so many test sequences and fingerprints (8 bytes each) they are
+    sent to every worker; more of them are joined by a shuffle instead."""
 
     k: int = 4
     window: int = 2
@@ -87,7 +87,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sequences(df: DataFrame, key: str, text: str, p: Winnow, *, prints: bool, only=None) -> DataFrame:
-    """``key, h, at``: distinct fingerprints (``prints``) or distinct sequences of ``length`` words of every row.
+    """``key, h, at``: distinct fingerprints (``prints``), or every sequence of ``length`` words with its place, of every row.
 
     ``only``: a broadcast pair of sorted arrays (fingerprints, sequences). Then a text without one of the
     fingerprints gives nothing, and of the others come the sequences among those given, with their place.
@@ -107,7 +107,8 @@ def sequences(df: DataFrame, key: str, text: str, p: Winnow, *, prints: bool, on
                 if prints and only is None:
                     h, at = marks, np.zeros(len(marks), dtype=np.int64)
                 else:
-                    h, at = np.unique(grams(words, p.length), return_index=True)
+                    h = grams(words, p.length)
+                    at = np.arange(len(h))
                     if only is not None:
                         keep = _within(h, only.value[1])
                         h, at = h[keep], at[keep]
@@ -129,11 +130,12 @@ def _within(values: np.ndarray, sorted_ones: np.ndarray) -> np.ndarray:
 
 
 def leaked_items(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, params: Winnow | None = None) -> DataFrame:
-    """``doc, item, shared, sequences, share, first_word, last_word``: which documents give away which items.
+    """``doc, item, shared, sequences, share, spans, first_word, last_word``: which documents give away which items.
 
     ``share`` is the part of the item's distinct ``length``-word sequences that stand in the document; a row
-    comes for a share of at least ``params.share``. ``first_word`` and ``last_word`` bound the matched words
-    in the document. Words are runs of letters and digits of the lower-cased text.
+    comes for a share of at least ``params.share``. ``spans`` counts the runs of words that both have in the same order,
+    each as long as it goes; ``first_word`` and ``last_word`` (from 0) bound the longest of them in the document, the
+    first of the longest. Words are runs of letters and digits of the lower-cased text.
 
     Items of fewer than ``length`` words have no sequence and can't leak; NULL and empty texts give nothing,
     NULL keys neither. Repeated rows count once (texts under one key count together). Other columns are
@@ -141,21 +143,26 @@ def leaked_items(corpus: DataFrame, doc: str, text: str, items: DataFrame, item:
     """
     p = params or Winnow()
     spark = corpus.sparkSession
-    tests = cut(sequences(items, item, item_text, p, prints=False).select(F.col("k").alias("item"), "h").distinct())
-    size = tests.groupBy("item").agg(F.count("*").alias("n"))
-    if tests.count() <= p.most_broadcast:
-        marks = sequences(items, item, item_text, p, prints=True).select("h").distinct()
-        arrays = [np.sort(np.array(x.toPandas()["h"], dtype=np.int64).view(np.uint64)) for x in (marks, tests.select("h").distinct())]
+    tests = cut(sequences(items, item, item_text, p, prints=False).select(F.col("k").alias("item"), "h", F.col("at").alias("place")).distinct())
+    size = tests.groupBy("item").agg(F.countDistinct("h").alias("n"))
+    marks = cut(sequences(items, item, item_text, p, prints=True).select("h").distinct())
+    wanted = cut(tests.select("h").distinct())
+    if wanted.count() + marks.count() <= p.most_broadcast:
+        arrays = [np.sort(np.array(x.toPandas()["h"], dtype=np.int64).view(np.uint64)) for x in (marks, wanted)]
         found = sequences(corpus, doc, text, p, prints=False, only=spark.sparkContext.broadcast(arrays))
     else:
         # Documents with a common fingerprint first, then the sequences of those alone.
-        marks = sequences(items, item, item_text, p, prints=True).select("h").distinct()
         hit = sequences(corpus, doc, text, p, prints=True).join(marks, "h", "left_semi").select(F.col("k").alias(doc)).distinct()
-        found = sequences(corpus.join(hit, doc, "left_semi"), doc, text, p, prints=False)
-    pairs = found.join(tests, "h").groupBy(F.col("k").alias("doc"), "item").agg(
-        F.countDistinct("h").alias("shared"), F.min("at").alias("a"), F.max("at").alias("b")
-    )
-    pairs = pairs.join(size, "item").filter(F.col("shared") >= F.col("n") * p.share - 1e-9)
+        found = sequences(corpus.join(hit, doc, "left_semi"), doc, text, p, prints=False).join(wanted, "h", "left_semi")
+    met = cut(found.select(F.col("k").alias("doc"), "h", "at").distinct().join(tests, "h"))
+    shared = met.groupBy("doc", "item").agg(F.countDistinct("h").alias("shared")).join(size, "item")
+    pairs = shared.filter(F.col("shared") >= F.col("n") * p.share - 1e-9)
+    # A run stays on one diagonal: the place in the document less that in the item.
+    line = Window.partitionBy("doc", "item", "line").orderBy("at")
+    on = met.join(pairs.select("doc", "item"), ["doc", "item"], "left_semi").select("doc", "item", "at", (F.col("at") - F.col("place")).alias("line"))
+    runs = on.withColumn("run", F.col("at") - F.row_number().over(line)).groupBy("doc", "item", "line", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    runs = runs.groupBy("doc", "item").agg(F.count("*").alias("spans"), F.max(F.struct((F.col("b") - F.col("a")).alias("len"), (-F.col("a")).alias("a"))).alias("r"))
+    pairs = pairs.join(runs.select("doc", "item", "spans", (-F.col("r.a")).alias("a"), (F.col("r.len") - F.col("r.a")).alias("b")), ["doc", "item"])
     taken = [doc, free_name(item, [doc])]
     return pairs.select(
         F.col("doc").alias(taken[0]),
@@ -163,6 +170,7 @@ def leaked_items(corpus: DataFrame, doc: str, text: str, items: DataFrame, item:
         F.col("shared").alias(free_name("shared", taken)),
         F.col("n").alias(free_name("sequences", taken)),
         (F.col("shared") / F.col("n")).alias(free_name("share", taken)),
+        F.col("spans").alias(free_name("spans", taken)),
         F.col("a").alias(free_name("first_word", taken)),
         (F.col("b") + p.length - 1).alias(free_name("last_word", taken)),
     )

@@ -1,14 +1,17 @@
 """Most similar vectors for every vector, with randomly rotated one-bit codes.
 
 Index: centroids are fitted on a bounded random sample; every vector goes to its ``probes`` nearest cells,
-and two vectors meet if they share a cell. What is shuffled is a fixed record of 196 bytes a cell for
+and two vectors meet if they share a cell. What is shuffled is a fixed record of 192 bytes a cell for
 160 dimensions: the signs of the randomly rotated residual (packed bits), three correction scalars, and a
 one-byte-per-dimension copy for reranking.
 
 Search, inside a cell: inner products are estimated from the packed bits and the scalars; with the error
 bound of the estimate, a vector is reranked only if its upper bound reaches the k-th best lower bound.
 
-Skew: a cell that the sample shows to be large is cut into tiles; values that fill more than a small part
+Size: there are at most ``most_cells`` cells; beyond that cells grow with the table, and one of more than ``tile``
+records gets an index of its own inside its task, so that the work for a vector stays the same.
+
+Skew: a cell that would exceed a task's memory is cut into tiles; values that fill more than a small part
 of the sample (exact copies) are kept out of the cells but for their first ``k + 1`` members, since a
 copy's nearest vectors are its copies.
 """
@@ -31,15 +34,20 @@ from cinemill.session import cut
 @dataclass(frozen=True)
 class Index:
     """Parameters. ``sample`` bounds the rows that the centroids are fitted on (on the driver: 4 bytes a
-    dimension each), ``cell`` is the mean number of vectors with a home in one cell, ``tile`` the most that one
-    task compares with all others of its cell, ``error`` the width of the error bound in standard deviations."""
+    dimension each), ``cell`` is the mean number of vectors with a home in one cell, ``tile`` the most records that are
+    all compared with one another; a cell of more is divided inside its task into parts of about ``part`` records,
+    of which every record takes the ``part_probes`` nearest. ``task``: the most records in one task.
+    ``error``: the width of the error bound in standard deviations."""
 
     probes: int = 6
     cell: int = 100
     most_cells: int = 8192
     sample: int = 24_576
     rounds: int = 6
-    tile: int = 8192
+    tile: int = 16_384
+    part: int = 4096
+    part_probes: int = 3
+    task: int = 500_000
     error: float = 1.9
     #: A value with at least this share of the sample is held apart as a group of exact copies.
     heavy: float = 0.002
@@ -100,7 +108,6 @@ def encode(x: np.ndarray, turned: np.ndarray, cells: np.ndarray, centres: np.nda
             length / (fit * np.sqrt(dims)),
             (turned * turned_centres[cells]).sum(1) - (centres[cells] ** 2).sum(1),
             length * np.sqrt(np.maximum(1 - fit**2, 0)) / (fit * np.sqrt(dims - 1)),
-            scale,
         ],
         axis=1,
     ).astype(np.float32)
@@ -108,13 +115,45 @@ def encode(x: np.ndarray, turned: np.ndarray, cells: np.ndarray, centres: np.nda
     return np.concatenate([np.packbits(signs, axis=1), small.view(np.uint8), scalars.view(np.uint8)], axis=1)
 
 
+def unpack(records: np.ndarray, dims: int) -> np.ndarray:
+    """The unit vectors (rotated) of the records' byte copies."""
+    packed = -(-dims // 8)
+    full = records[:, packed : packed + dims].view(np.int8).astype(np.float32)
+    return full / np.linalg.norm(full, axis=1, keepdims=True)
+
+
+def search_in_parts(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int, least: float, p: Index):
+    """``search`` over a cell of any size: a large one by parts, in which near records meet; the best ``k`` of all of them."""
+    if len(records) <= p.tile:
+        return search(records, ids, own, centre, k, least, p.error)
+    full = unpack(records, len(centre))
+    parts = -(-len(records) * p.part_probes // p.part)
+    some = full[np.random.default_rng(p.seed).choice(len(full), min(len(full), 8 * parts), replace=False)]
+    near = nearest_cells(full, centroids(some, min(parts, len(some)), p.rounds, p.seed), p.part_probes)
+    del full
+    row, part = np.repeat(np.arange(len(records)), near.shape[1]), near.ravel()
+    order = np.argsort(part, kind="stable")
+    found = []
+    for rows in np.split(row[order], np.flatnonzero(np.diff(part[order])) + 1):
+        q, d, cosine = search(records[rows], ids[rows], own[rows], centre, k, least, p.error)
+        found.append((rows[q], rows[d], cosine))
+    q, d, cosine = (np.concatenate(x) for x in zip(*found))
+    pair = np.lexsort((-cosine, d, q))
+    q, d, cosine = q[pair], d[pair], cosine[pair]
+    new = np.r_[True, (np.diff(q) != 0) | (np.diff(d) != 0)] if len(q) else np.empty(0, bool)
+    q, d, cosine = q[new], d[new], cosine[new]
+    order = np.lexsort((ids[d], -cosine, q))
+    q, d, cosine = q[order], d[order], cosine[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], d[best], cosine[best]
+
+
 def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int, least: float, width: float):
     """(query rows, found rows, cosines): the ``k`` best of the ``own`` rows for every row, by reranked cosine."""
     dims = len(centre)
     packed = -(-dims // 8)
     scalars = records[:, packed + dims :].copy().view(np.float32)
-    full = records[:, packed : packed + dims].view(np.int8).astype(np.float32) * scalars[:, 3:4]
-    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    full = unpack(records, dims)
     _, first = np.unique(ids[own], return_index=True)
     data = np.flatnonzero(own)[first]
     _, queries = np.unique(ids, return_index=True)
@@ -186,7 +225,7 @@ def nearest(df: DataFrame, keys: list[str], vector: str, *, dims: int = 160, k:
     centres = centroids(values, cells, p.rounds, p.seed) if cells > 1 else np.zeros((1, dims), np.float32)
     turn = rotation(dims, p.seed)
     load = np.bincount(nearest_cells(values, centres, p.probes).ravel(), minlength=cells) * (n / size)
-    tiles = np.maximum(1, np.ceil(load / p.tile)).astype(np.int64)
+    tiles = np.maximum(1, np.ceil(load / p.task)).astype(np.int64)
     shared = spark.sparkContext.broadcast((centres, turn, centres @ turn, tiles, heavy))
 
     record = T.StructType(
@@ -221,7 +260,7 @@ def nearest(df: DataFrame, keys: list[str], vector: str, *, dims: int = 160, k:
         centre = shared.value[2][group.column("cell")[0].as_py()]
         blob = group.column("record").combine_chunks()
         records = np.frombuffer(b"".join(blob.to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
-        q, d, cosine = search(records, group.column("id").to_numpy(), group.column("own").to_numpy(zero_copy_only=False), centre, k, least, p.error)
+        q, d, cosine = search_in_parts(records, group.column("id").to_numpy(), group.column("own").to_numpy(zero_copy_only=False), centre, k, least, p)
         key = group.column("key").combine_chunks()
         return pa.table([key.take(pa.array(q)), key.take(pa.array(d)), pa.array(cosine, pa.float32())], names=["q", "n", "cosine"])
 

@@ -2,7 +2,7 @@
 
 Each partition of the scan keeps a fixed number of open windows and places every item best-fit; if none
 has room the fullest is emitted. The windows still open at the end of a partition (at most ``open_windows``
-each) are merged over all partitions in a last step. No text is shuffled: what moves are the windows'
+each) are merged over all partitions, in rounds over groups of bounded size. No text is shuffled: what moves are the windows'
 sizes and the rows of the windows left over.
 """
 
@@ -132,27 +132,44 @@ def pack_documents(
     columns = [F.col("k").alias(key), *[F.col(c).alias(free_name(n, [key])) for c, n in names.items()]]
     container = free_name("container", [key])
     closed = all_rows.filter("not left_over").select(*columns, F.format_string("t%d-%d", "task", "number").alias(container))
-    return closed.unionByName(rest.select(*columns, F.format_string("m%d", "merged").alias(container)))
+    return closed.unionByName(rest.select(*columns, F.concat(F.lit("m"), "merged").alias(container)))
 
 
-def merge_windows(windows: DataFrame, ids: list[str], size: str, capacity: int) -> DataFrame:
-    """``ids, merged``: which left-over windows go together; best-fit, largest first, in one task.
+def merge_windows(windows: DataFrame, ids: list[str], size: str, capacity: int, most: int = 20_000) -> DataFrame:
+    """``ids, merged``: which left-over windows go together; best-fit, largest first, by groups of about ``most`` windows.
 
-    That task gets one row of a few numbers per left-over window: a fixed number per scan partition.
+    Each group leaves at most one container that is half empty or more. With several groups those containers are
+    the windows of the next round, until one group is left; so no task gets more than about ``most`` windows.
     """
-    fields = [windows.schema[c] for c in ids]
-    schema = T.StructType([*fields, T.StructField("merged", T.LongType())])
+    schema = "w string, size long, box string"
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([size, *ids], ascending=[False] + [True] * len(ids))
+    def merged(key: tuple, group: pd.DataFrame, turn: int) -> pd.DataFrame:
+        group = group.sort_values(["size", "w"], ascending=[False, True])
         open_ones = OpenWindows(capacity, len(group) + 1)
         found = []
-        for row in group.itertuples(index=False):
-            found += open_ones.place(int(getattr(row, size)), tuple(getattr(row, c) for c in ids))
+        for w, n in zip(group["w"], group["size"]):
+            found += open_ones.place(int(n), (w, int(n)))
         found += open_ones.rest()
-        return pd.DataFrame([(*item, number) for number, items in found for item in items], columns=[*ids, "merged"])
-
-    return windows.groupBy().applyInPandas(merge, schema)
+        return pd.DataFrame([(*item, f"{turn}/{key[0]}/{number}") for number, items in found for item in items], columns=["w", "size", "box"])
+
+    def merge(turn: int):
+        return lambda key, group: merged(key, group, turn)
+
+    named = cut(windows.select(*ids, F.concat_ws("/", *[F.col(c).cast("string") for c in ids]).alias("w"), F.col(size).cast("long").alias("size")))
+    now, placed, turn = named.select("w", "size"), None, 0
+    while True:
+        groups = max(1, -(-now.count() // most))
+        dealt = now.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(groups)))
+        made = cut(dealt.groupBy("g").applyInPandas(merge(turn), schema))
+        if placed is None:
+            placed = made.select("w", "box")
+        else:
+            moved = made.select(F.col("w").alias("box"), F.col("box").alias("to"))
+            placed = cut(placed.join(moved, "box", "left").select("w", F.coalesce("to", "box").alias("box")))
+        if groups == 1:
+            return named.join(placed, "w").select(*ids, F.col("box").alias("merged"))
+        half = made.groupBy("box").agg(F.sum("size").alias("size")).filter(F.col("size") * 2 <= capacity)
+        now, turn = cut(half.select(F.col("box").alias("w"), "size")), turn + 1
 
 
 def container_fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:

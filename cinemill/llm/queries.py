@@ -21,7 +21,14 @@ KNN = Index(cell=1000)
 
 
 def p1_bands(spark, folder):
-    return compression_bands(table(spark, folder, "video_event"), ["video_id", "event_id"], "summary").distinct()
+    """The exact share and verdict of every summary."""
+    measured = compression_bands(table(spark, folder, "video_event"), ["video_id", "event_id"], "summary").distinct()
+    return measured.select("video_id", "event_id", "n_words", "repeated_words", F.round("repeated_share", 9).alias("repeated_share"), "repetitive")
+
+
+def p1_ratios(spark, folder):
+    """The ratios behind it, with the limits and verdicts of every length band."""
+    return compression_bands(table(spark, folder, "video_event"), ["video_id", "event_id"], "summary").distinct().drop("repeated_share")
 
 
 def p1_found(spark, folder):
@@ -125,7 +132,7 @@ def _ranked(spark, folder, least_group: int):
 
 def p5_ranking(spark, folder):
     """Every event with all four scores, in groups of any size."""
-    return _ranked(spark, folder, 1)
+    return _ranked(spark, folder, 1).select("video_id", "event_id", "closeness", "place", "group_size")
 
 
 def p5_found(spark, folder):
@@ -169,6 +176,7 @@ def p8_redacted(spark, folder):
 QUERIES = {
     "p1_found": p1_found,
     "p1_bands": p1_bands,
+    "p1_ratios": p1_ratios,
     "p2_found": p2_found,
     "p2_knn": p2_knn,
     "p3_found": p3_found,
@@ -186,10 +194,11 @@ QUERIES = {
 _LEAK = r"""d as (
   select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from eval_item),
-ig as (select distinct item_id, array_to_string(ws[p:p+4], ' ') g from (select *, unnest(range(1, len(ws) - 3)) p from i)),
+ig as (select distinct item_id, p q, array_to_string(ws[p:p+4], ' ') g from (select *, unnest(range(1, len(ws) - 3)) p from i)),
 dg as (select doc_id, p, array_to_string(ws[p:p+4], ' ') g from (select *, unnest(range(1, len(ws) - 3)) p from d)),
-m as (select doc_id, item_id, g, min(p) p from dg join ig using (g) group by all),
-n as (select item_id, count(*) n from ig group by 1)"""
+m as (select doc_id, item_id, g, p, q from dg join ig using (g)),
+n as (select item_id, count(distinct g) n from ig group by 1),
+s as (select doc_id, item_id, n, count(distinct g) c from m join n using (item_id) group by 1, 2, 3 having 4 * count(distinct g) >= n)"""
 
 SQL = {
     "p1_found": """with e as (select distinct video_id, event_id, regexp_extract_all(lower(summary), '[a-z]+') ws from video_event),
@@ -210,8 +219,34 @@ z as (select *, count(*) over g c, rank() over (partition by video_id, h order b
   from y window g as (partition by video_id, h))
 select video_id, event_id from z where c >= 10 and 5 * rm < c and 5 * ra < c and 5 * rn < c and 5 * ri < c""",
     "p7_found": f"""with {_LEAK}
-select doc_id, item_id from m join n using (item_id) group by doc_id, item_id, n having 4 * count(*) >= n""",
-    "p7_spans": f"""with {_LEAK}
-select doc_id, item_id, count(*) as shared, n as sequences, count(*) / n as share, min(p) - 1 as first_word, max(p) + 3 as last_word
-from m join n using (item_id) group by doc_id, item_id, n having 4 * count(*) >= n""",
+select doc_id, item_id from s""",
+    "p7_spans": f"""with {_LEAK},
+o as (select doc_id, item_id, p, p - q line, p - row_number() over (partition by doc_id, item_id, p - q order by p) run from m join s using (doc_id, item_id)),
+r as (select doc_id, item_id, min(p) a, max(p) b from o group by doc_id, item_id, line, run),
+k as (select *, count(*) over (partition by doc_id, item_id) spans, row_number() over (partition by doc_id, item_id order by b - a desc, a) place from r)
+select doc_id, item_id, c as shared, n as sequences, c / n as share, spans, a - 1 as first_word, b + 3 as last_word from k join s using (doc_id, item_id) where place = 1""",
+    "p1_bands": r"""with e as (select distinct video_id, event_id, regexp_extract_all(lower(summary), '[a-z]+') ws from video_event),
+g as (select video_id, event_id, p, array_to_string(ws[p:p+3], ' ') g from (select *, unnest(range(1, len(ws) - 2)) p from e)),
+r as (select *, min(p) over (partition by video_id, event_id, g) f from g),
+w as (select video_id, event_id, count(distinct q) c from (select video_id, event_id, p + unnest([0, 1, 2, 3]) q from r where p > f) group by 1, 2)
+select video_id, event_id, coalesce(len(ws), 0) as n_words, coalesce(c, 0) as repeated_words,
+  round(case when len(ws) > 0 then coalesce(c, 0) / len(ws) else 0 end, 9) as repeated_share,
+  coalesce(len(ws) >= 12 and 20 * coalesce(c, 0) >= 7 * len(ws), false) as repetitive
+from e left join w using (video_id, event_id)""",
+    "p5_ranking": """with v as (select distinct video_id, event_id, start_time_ms s, end_time_ms e, importance i from video_event where importance is not null and not isnan(importance)),
+x as (select v.video_id, event_id, floor(s / 3600000) h, i,
+    max(motion_score) filter (motion_score between 0 and 1 and not isnan(motion_score)) m,
+    max(audio_energy) filter (audio_energy >= 0 and not isnan(audio_energy)) a,
+    max(novelty_score) filter (novelty_score >= 0 and not isnan(novelty_score)) n
+  from v join frame_packet p on p.video_id = v.video_id and timestamp_ms >= s and timestamp_ms < e group by v.video_id, event_id, s, i),
+y as (select * from x where m is not null and a is not null and n is not null),
+l as (select video_id, event_id, h, unnest([m, a, n, i]) val, unnest([0, 1, 2, 3]) k from y),
+t as (select *, cume_dist() over (partition by video_id, h, k order by val) c from l),
+q as (select video_id, h, k, min(val) filter (c >= 0.05 - 1e-12) lo, min(val) filter (c >= 0.95 - 1e-12) hi from t group by all),
+b as (select video_id, h, k, lo, hi, sqrt(sum(least(greatest(val, lo), hi) ^ 2)) nm from l join q using (video_id, h, k) group by all),
+z as (select video_id, event_id, h, sqrt(sum(case when nm > 0 then ((hi - least(greatest(val, lo), hi)) * 0.25 / nm) ^ 2 else 0 end)) far,
+    sqrt(sum(case when nm > 0 then ((least(greatest(val, lo), hi) - lo) * 0.25 / nm) ^ 2 else 0 end)) near
+  from l join b using (video_id, h, k) group by all),
+f as (select video_id, event_id, h, round(case when far + near > 0 then near / (far + near) else 0.5 end, 9) closeness from z)
+select video_id, event_id, closeness, rank() over (partition by video_id, h order by closeness desc) as place, count(*) over (partition by video_id, h) as group_size from f""",
 }

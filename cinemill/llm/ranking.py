@@ -3,7 +3,7 @@
 Within a group each score is winsorised, divided by the length of its vector over the group and
 weighted; an item's closeness is its distance to the anti-ideal point through the sum of its distances
 to both points. Everything per group is an aggregate with map-side combine, and ranks come from counts
-of values in bins, so a group that holds a third of all rows is never one task's.
+of values in sorted ranges, so a group that holds a third of all rows is never one task's.
 """
 
 from __future__ import annotations
@@ -27,17 +27,16 @@ def _long(df: DataFrame, groups: list[str], scores: list[str]) -> DataFrame:
     return df.select(*groups, F.inline(pairs))
 
 
-def values_above(df: DataFrame, groups: list[str], scores: list[str], bins: int = 256) -> DataFrame:
+def values_above(df: DataFrame, groups: list[str], scores: list[str]) -> DataFrame:
     """``groups``, ``i``, ``x``, ``above``: the number of rows of the group with a larger i-th score than x.
 
-    Equal values are counted before any shuffle. Values fall into ``bins`` bins between the group's
-    extremes; sums over the bins (at most ``bins`` rows a group and score) and ranks inside one bin add up.
+    Equal values are counted before any shuffle, then sorted into ranges of about equal size whatever their
+    distribution (a group may take many ranges); the sums of the ranges and ranks inside one add up.
     """
     counts = _long(df, groups, scores).groupBy(*groups, "i", "x").agg(F.count("*").alias("n"))
-    ends = counts.groupBy(*groups, "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)))
     by = [*groups, "i"]
-    binned = counts.alias("c").join(ends.alias("e"), _same("c", "e", by)).select(*[f"c.{g}" for g in by], "x", "n", F.coalesce(at, F.lit(0)).alias("bin"))
+    # Written once: which range a value falls into must not change between the two branches.
+    binned = cut(counts.repartitionByRange(*by, "x").withColumn("bin", F.spark_partition_id()))
     sums = binned.groupBy(*by, "bin").agg(F.sum("n").alias("m"))
     higher = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("over", F.coalesce(F.sum("m").over(higher), F.lit(0)))
@@ -69,7 +68,6 @@ def ideal_point_ranking(
     *,
     weights: list[float] | None = None,
     winsor: tuple[float, float] = (0.05, 0.95),
-    accuracy: int = 1000,
     top_share: float = 0.2,
     least_group: int = 1,
 ) -> DataFrame:
@@ -78,7 +76,8 @@ def ideal_point_ranking(
     ``place`` is 1 plus the number of items of the group with a larger closeness. ``in_top``: in each
     score fewer than ``top_share`` of the group lie strictly above. ``can_top``: the closeness reaches that
     of the point that just passes in every score; as closeness never falls when a score rises, no item in
-    the top lacks it. Winsor limits are quantiles of the group by a mergeable sketch of ``accuracy``.
+    the top lacks it. Winsor limits are the group's exact quantiles (the least value that so large a share doesn't
+    exceed). ``closeness`` is rounded to nine places, so that its place doesn't hang on the order of sums.
 
     An item with a NULL or NaN score is left out, as are groups of fewer than ``least_group`` items. Equal
     items share their place. A score that is constant in its group adds nothing to any distance; if all
@@ -97,33 +96,29 @@ def ideal_point_ranking(
         items = items.filter(F.col(c).isNotNull() & ~F.isnan(c))
     items = cut(items.groupBy(*g, *d).agg(F.min(F.struct(*v)).alias("v")).select(*g, *d, *[f"v.{c}" for c in v]))
 
-    stats = items.groupBy(*g).agg(
-        F.count("*").alias("size"), *[F.percentile_approx(c, list(winsor), accuracy).alias(f"q{i}") for i, c in enumerate(v)]
-    ).filter(F.col("size") >= least_group)
-    stats = stats.select(*g, "size", *[F.col(f"q{i}")[0].alias(f"low{i}") for i in range(k)], *[F.col(f"q{i}")[1].alias(f"high{i}") for i in range(k)])
-    above = values_above(items, g, v).alias("a").join(stats.select(*g, "size").alias("s"), _same("a", "s", g))
-    passing = above.filter(F.col("a.above") < F.col("s.size") * top_share - 1e-9).groupBy(*[F.col(f"a.{c}").alias(c) for c in g]).agg(
-        *[F.min(F.when(F.col("a.i") == i, F.col("a.x"))).alias(f"pass{i}") for i in range(k)]
-    )
+    sizes = items.groupBy(*g).agg(F.count("*").alias("size")).filter(F.col("size") >= least_group)
+    above = values_above(items, g, v).alias("a").join(sizes.alias("s"), _same("a", "s", g)).select(*[f"a.{c}" for c in g], "a.i", "a.x", "a.above", "s.size")
+    upto = F.col("size") - F.col("above")  # rows with at most x
+    of = lambda i, good: F.min(F.when((F.col("i") == i) & good, F.col("x")))
+    limits = [of(i, upto >= F.col("size") * q - 1e-9).alias(f"{e}{i}") for e, q in zip(("low", "high"), winsor) for i in range(k)]
+    passing = [of(i, F.col("above") < F.col("size") * top_share - 1e-9).alias(f"pass{i}") for i in range(k)]
+    stats = cut(above.groupBy(*g).agg(F.max("size").alias("size"), *limits, *passing))
     with_limits = items.alias("t").join(stats.alias("s"), _same("t", "s", g)).select(
-        *[f"t.{c}" for c in [*g, *d, *v]], "s.size", *[f"s.{e}{i}" for e in ("low", "high") for i in range(k)]
+        *[f"t.{c}" for c in [*g, *d, *v]], "s.size", *[f"s.{e}{i}" for e in ("low", "high", "pass") for i in range(k)]
     )
     norms = with_limits.groupBy(*g).agg(
         *[F.sqrt(F.sum(F.pow(F.least(F.greatest(F.col(c), F.col(f"low{i}")), F.col(f"high{i}")), 2))).alias(f"norm{i}") for i, c in enumerate(v)]
     )
-    wide = norms.alias("n").join(passing.alias("p"), _same("n", "p", g)).select(
-        *[f"n.{c}" for c in g], *[f"n.norm{i}" for i in range(k)], *[f"p.pass{i}" for i in range(k)]
-    )
-    joined = with_limits.alias("t").join(wide.alias("w"), _same("t", "w", g)).select(
-        *[f"t.{c}" for c in with_limits.columns], *[f"w.{e}{i}" for e in ("norm", "pass") for i in range(k)]
+    joined = with_limits.alias("t").join(norms.alias("n"), _same("t", "n", g)).select(
+        *[f"t.{c}" for c in with_limits.columns], *[f"n.norm{i}" for i in range(k)]
     )
     parts = ["low", "high", "norm"]
     passed = F.lit(True)
     for i, c in enumerate(v):
         passed &= F.col(c) >= F.col(f"pass{i}")
     ranked = cut(
-        joined.withColumn("closeness", _closeness([F.col(c) for c in v], parts, weights))
-        .withColumn("can_top", F.col("closeness") >= _closeness([F.col(f"pass{i}") for i in range(k)], parts, weights) - 1e-9)
+        joined.withColumn("closeness", F.round(_closeness([F.col(c) for c in v], parts, weights), 9))
+        .withColumn("can_top", F.col("closeness") >= _closeness([F.col(f"pass{i}") for i in range(k)], parts, weights) - 2e-9)
         .withColumn("in_top", F.col("can_top") & passed)
         .select(*g, *d, *v, "size", "closeness", "can_top", "in_top")
     )

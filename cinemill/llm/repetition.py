@@ -28,6 +28,8 @@ from cinemill.session import free_name
 
 _WORD = re.compile("[a-z]+")
 _MATCH_BYTES, _FRAME_BYTES = 5, 24
+#: Bytes of codes from which the window must be widened, and the level then.
+_WINDOW, _LONG_LEVEL = 4_000_000, 12
 _SCHEMA = (
     "n_words long, n_bytes long, band int, text_ratio double, chunk_ratio_min double, chunk_ratio_max double,"
     " phrase_ratio double, phrase_limit double, too_regular boolean, too_noisy boolean, repeated_words long, repeated_share double, repetitive boolean"
@@ -47,8 +49,6 @@ class Bands:
     noisy: tuple[float, ...] = (1.30, 1.15, 1.05, 0.95, 0.90, 0.85, 0.80)
     level: int = 3
     phrase_level: int = 19
-    #: Beyond so many words the strong level is slow and the exact count alone decides.
-    exact_above: int = 200_000
 
     def band(self, n: int) -> int:
         return sum(n >= e for e in self.edges) - 1
@@ -80,6 +80,11 @@ def _code(k: int) -> bytes:
 def _phrase_ratio(words: list[str], packer) -> float:
     codes: dict[str, bytes] = {}
     raw = b"".join([codes.get(w) or codes.setdefault(w, _code(len(codes))) for w in words])
+    if len(raw) > _WINDOW:  # a repeat may lie further back than the level's window reaches
+        import zstandard
+
+        wide = zstandard.ZstdCompressionParameters.from_level(_LONG_LEVEL, window_log=min(30, len(raw).bit_length()), enable_ldm=True, ldm_min_match=16)
+        packer = zstandard.ZstdCompressor(compression_params=wide)
     return len(packer.compress(raw)) / len(raw)
 
 
@@ -100,13 +105,10 @@ def measure_text(text: str | None, p: Bands, packers) -> tuple:
     share = count / n if n else 0.0
     if band < 0 or n < p.least_words:
         return (n, len(raw), band, whole, min(chunks), max(chunks), None, None, False, False, count, share, False)
-    ratio = limit = None
-    if n <= p.exact_above:
-        ratio, limit = _phrase_ratio(words, strong), p.limit(n)
-    reached = ratio is None or ratio <= limit
+    ratio, limit = _phrase_ratio(words, strong), p.limit(n)
     return (
         *(n, len(raw), band, whole, min(chunks), max(chunks), ratio, limit, min(chunks) < p.regular[band], max(chunks) > p.noisy[band]),
-        *(count, share, reached and count >= p.share * n - 1e-9),
+        *(count, share, ratio <= limit and count >= p.share * n - 1e-9),
     )
 
 
