@@ -17,6 +17,8 @@ _NEEDED = ["second", "scene_label", "character_count", "dialogue_present", "musi
 def signals(seconds: DataFrame, *, embedding: str | None = None, exclude_current: bool = False) -> DataFrame:
     """The eight signals of every second against the one before; a stream's first second has none (NULLs).
 
+    The ``embedding`` itself is left out of the result; join it again by (video_id, second) where it is pooled.
+
     The prediction compares the current vector with an extrapolation of a history that, as in the reference
     behaviour, already ends with the current second; ``exclude_current`` extrapolates from the two before.
     """
@@ -37,12 +39,13 @@ def signals(seconds: DataFrame, *, embedding: str | None = None, exclude_current
     }
     if embedding:
         now, one, two = F.col(embedding), F.col(f"prev1.{embedding}"), F.col(f"prev2.{embedding}")
-        out["embedding"] = vec.cosine_distance(now, one)
-        out["prediction_error"] = vec.extrapolation_error(one, two, now) if exclude_current else vec.extrapolation_error(now, one, now)
+        # The vectors go no further than this step: what follows needs their two distances.
+        rows = rows.withColumn("_step", vec.step_distances(now, one, two) if exclude_current else vec.step_distances(now, one))
+        out["embedding"], out["prediction_error"] = F.col("_step.moved"), F.col("_step.surprise")
     rows = rows.withColumns({f"{k}_signal": F.when(there, v) for k, v in out.items()})
     fast = "fast_action"
     spike = (F.col("action_label") == fast) & (F.col("prev1.action_label") == fast) & (F.col("prev2.action_label") != fast)
-    return rows.withColumn("spike", F.coalesce(spike, F.lit(False))).drop("prev1", "prev2", "prev3")
+    return rows.withColumn("spike", F.coalesce(spike, F.lit(False))).drop("prev1", "prev2", "prev3", "_step", *([embedding] if embedding else []))
 
 
 def decisions(rows: DataFrame, config: SegmenterConfig) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinemill.config import SamplerConfig
 from cinemill.functions import scoring as S
-from cinemill.operators.sliced import neighbours
+from cinemill.operators.sliced import neighbours, running_max, running_sum
+from cinemill.session import cut
 
 SLICE_MS = 3_600_000
 
@@ -25,24 +29,33 @@ def clean_packets(df: DataFrame) -> DataFrame:
     return out.withColumns({c: S.unit_score(c) for c in ("motion_score", "audio_energy", "novelty_score")})
 
 
-def estimated_times(df: DataFrame, key: str, order: list[str], pts: str, fps: Column) -> DataFrame:
+def estimated_times(df: DataFrame, key: str, order: list[str], pts: str, fps: Column, *, slice_: Column | None = None) -> DataFrame:
     """``df`` with ``timestamp_ms``: ``pts`` where known, else one frame after the frame before (40 ms if fps <= 0).
 
-    A run of missing times counts on from the last known one, so the estimate needs no recurrence.
+    A run of missing times counts on from the last known one, so the estimate needs no recurrence: it is a
+    running sum less that sum at the last known time. ``slice_`` cuts a stream along ``order`` for the sums.
     """
+    slice_ = F.lit(0) if slice_ is None else slice_
     step = F.when(fps > 0, 1000.0 / fps).otherwise(40.0)
-    w = Window.partitionBy(key).orderBy(*order)
-    run = F.sum(F.col(pts).isNotNull().cast("int")).over(w)
-    rows = df.withColumns({"_run": run, "_step": step})
-    inside = Window.partitionBy(key, "_run").orderBy(*order)
-    since = F.sum(F.when(F.col(pts).isNull(), F.col("_step")).otherwise(0.0)).over(inside)
-    return rows.withColumn("timestamp_ms", F.coalesce(F.first(pts).over(inside), F.lit(0.0)) + since).drop("_run", "_step")
+    rows = running_sum(df.withColumn("_step", step), key, order, slice_, F.col(pts).isNotNull().cast("long"), "_run")
+    rows = running_sum(rows, key, order, slice_, F.when(F.col(pts).isNull(), F.col("_step")).otherwise(0.0), "_sum")
+    rows = cut(rows)
+    known = rows.filter(F.col(pts).isNotNull()).select(F.col(key).alias("_k"), F.col("_run").alias("_r"), (F.col(pts) - F.col("_sum")).alias("_from"))
+    out = rows.join(known, (F.col(key) == F.col("_k")) & (F.col("_run") == F.col("_r")), "left")
+    return out.withColumn("timestamp_ms", F.coalesce(F.col(pts), F.coalesce("_from", F.lit(0.0)) + F.col("_sum"))).drop("_run", "_step", "_sum", "_k", "_r", "_from")
 
 
-def strictly_rising(df: DataFrame, key: str, arrival: list[str], time: str) -> DataFrame:
-    """Rows whose time is larger than that of every row that arrived before in ``key``."""
-    w = Window.partitionBy(key).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_most", F.max(time).over(w)).filter(F.col("_most").isNull() | (F.col(time) > F.col("_most"))).drop("_most")
+def strictly_rising(df: DataFrame, key: str, arrival: list[str], time: str, *, slice_: Column | None = None) -> DataFrame:
+    """Rows whose time is larger than that of every row that arrived before in ``key``; ``slice_`` cuts a stream along ``arrival``."""
+    rows = running_max(df, key, arrival, F.lit(0) if slice_ is None else slice_, F.col(time), "_most")
+    return rows.filter(F.col("_most").isNull() | (F.col(time) > F.col("_most"))).drop("_most")
+
+
+def recent(df: DataFrame, key: str, order: list[str], slice_: Column, value: str, rows: int) -> DataFrame:
+    """``df`` with ``recent``: the last ``rows`` values that aren't NULL, among as many rows and the current one, oldest first."""
+    found = neighbours(df, key, order, slice_, back=rows - 1, carry=[value])
+    values = [F.col(f"prev{i}.{value}") for i in range(rows - 1, 0, -1)] + [F.col(value)]
+    return found.withColumn("recent", F.array_compact(F.array(*values))).drop(*[f"prev{i}" for i in range(1, rows)])
 
 
 # ---- audio and subtitles ----------------------------------------------------------------------
@@ -128,35 +141,72 @@ def schedule(df: DataFrame, key: str, time: str, fps: str, *, order: list[str],
     """The rows that an adaptive-rate scheduler keeps: the first of a stream, and every row that comes at least
     ``1000 / fps`` ms (its own rate, at least 0.01) after the last row kept.
 
-    A row that comes so long after the row *before* it is kept whatever was kept until then. Such rows cut a
-    stream into islands that don't depend on one another; the fold runs inside the JVM, island by island. Rows
-    must be in strictly rising time (see ``strictly_rising``); rows with NULL time or rate are left out.
+    A recurrence, but a short one: whatever was kept before, two runs through the same rows soon keep the same ones.
+    So every slice of a stream is first run as if its first row were kept; then, in rounds, slices whose predecessor
+    ends with another row than assumed are run again, until all agree (at worst a round per slice, as a rule two or
+    three). Rows must be in strictly rising time (see ``strictly_rising``); such with NULL time or rate are left out.
     """
     gap = 1000.0 / F.greatest(F.col(fps), F.lit(0.01))
-    rows = df.filter(F.col(time).isNotNull() & F.col(fps).isNotNull()).withColumn("_gap", gap)
-    rows = rows.select(F.col(key).alias("_key"), F.col(time).alias("_t"), "_gap", F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    names = [f"_o{i}" for i in range(len(order))]
-    slice_ = F.floor(F.col("_t") / slice_ms)
-    rows = neighbours(rows, "_key", ["_t", *names], slice_, carry=["_t"])
-    sure = F.col("prev1").isNull() | (F.col("_t") - F.col("prev1._t") >= F.col("_gap"))
-    rows = rows.withColumn("_sure", sure).withColumn("_slice", slice_)
-    # An island is named by its first row's time; it may run over slices.
-    inside = Window.partitionBy("_key", "_slice").orderBy("_t", *names).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_island", F.max(F.when(F.col("_sure"), F.col("_t"))).over(inside))
-    last = rows.groupBy("_key", "_slice").agg(F.max(F.when(F.col("_sure"), F.col("_t"))).alias("_m"))
-    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select("_key", "_slice", F.max("_m").over(earlier).alias("_before"))
-    rows = rows.join(last, ["_key", "_slice"]).withColumn("_island", F.coalesce("_island", "_before"))
-    islands = rows.groupBy("_key", "_island").agg(F.array_sort(F.collect_list(F.struct("_t", *names, "_gap", "_row"))).alias("a"))
-    one = F.col("a").getItem(0)
-    start = F.struct(one["_t"].alias("last"), F.array(one["_row"]).alias("kept"))
-    kept = F.aggregate(
-        F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))),
-        start,
-        lambda s, x: F.when(x["_t"] - s["last"] >= x["_gap"], F.struct(x["_t"].alias("last"), F.array_append(s["kept"], x["_row"]).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return islands.select(F.explode(kept).alias("_row")).select("_row.*")
+    rows = df.filter(F.col(time).isNotNull() & F.col(fps).isNotNull()).withColumns({"_at": F.col(time).cast("double"), "_gap": gap, "_slice": F.floor(F.col(time) / slice_ms)})
+    rows = cut(rows)
+    kind, names = df.schema[key].dataType, df.columns
+    ends = T.StructType([T.StructField("_k", kind), T.StructField("_s", T.LongType()), T.StructField("_in", T.DoubleType()), T.StructField("_out", T.DoubleType())])
+
+    def run(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        group = group.sort_values(["_at", *order], ignore_index=True)
+        began = group["_in"].iloc[0]
+        return group, kept_rows(group["_at"].to_numpy(), group["_gap"].to_numpy(), None if pd.isna(began) else float(began))
+
+    def last_kept(group: pd.DataFrame) -> pd.DataFrame:
+        group, kept = run(group)
+        began = group["_in"].iloc[0]
+        out = group["_at"].iloc[kept[-1]] if len(kept) else began
+        return pd.DataFrame({"_k": [group["_key"].iloc[0]], "_s": [int(group["_slice"].iloc[0])], "_in": [began], "_out": [out]})
+
+    lean = rows.select(F.col(key).alias("_key"), "_slice", "_at", "_gap", *order)
+    known = cut(lean.withColumn("_in", F.lit(None).cast("double")).groupBy("_key", "_slice").applyInPandas(last_kept, ends))
+    before = F.lag("_out").over(Window.partitionBy("_k").orderBy("_s"))
+    while True:
+        told = cut(known.withColumn("_new", before))
+        wrong = told.filter(~F.col("_new").eqNullSafe(F.col("_in"))).select(F.col("_k").alias("_wk"), F.col("_s").alias("_ws"), "_new")
+        if not wrong.limit(1).count():
+            break
+        again = lean.join(wrong, F.col("_key").eqNullSafe(F.col("_wk")) & (F.col("_slice") == F.col("_ws"))).drop("_wk", "_ws").withColumnRenamed("_new", "_in")
+        right = told.filter(F.col("_new").eqNullSafe(F.col("_in"))).drop("_new")
+        known = cut(right.unionByName(again.groupBy("_key", "_slice").applyInPandas(last_kept, ends)))
+    whole = rows.join(known.select("_k", "_s", "_in"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s"))).drop("_k", "_s")
+
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        group, kept = run(group)
+        return group.iloc[kept][names]
+
+    return whole.groupBy(key, "_slice").applyInPandas(keep, df.schema)
+
+
+def kept_rows(at: np.ndarray, gap: np.ndarray, last: float | None) -> np.ndarray:
+    """The places of the rows kept after ``last`` (None: the first row is kept), for rising times and each row's own gap."""
+    if not len(at):
+        return np.empty(0, dtype=np.int64)
+    # Row j may follow row i if at[j] - at[i] >= gap[j]; the next kept row after i is the first such j.
+    following = np.full(len(at), len(at))
+    open_ = np.arange(len(at) - 1)
+    step = 1
+    while len(open_):
+        fits = at[open_ + step] - at[open_] >= gap[open_ + step]
+        following[open_[fits]] = open_[fits] + step
+        step += 1
+        open_ = open_[~fits]
+        open_ = open_[open_ + step < len(at)]
+    if last is None:
+        i = 0
+    else:
+        fits = np.flatnonzero(at - last >= gap)
+        i = int(fits[0]) if len(fits) else len(at)
+    kept, following = [], following.tolist()
+    while i < len(at):
+        kept.append(i)
+        i = following[i]
+    return np.array(kept, dtype=np.int64)
 
 
 def transitions(df: DataFrame, key: str, order: list[str], score: str, black: str, threshold: float = 0.45, slice_: Column | None = None) -> DataFrame:
@@ -166,16 +216,35 @@ def transitions(df: DataFrame, key: str, order: list[str], score: str, black: st
     return rows.withColumn("scene_changed", changed).drop("prev1")
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], vector: str, name: str, *, rows: int, include_current: bool) -> DataFrame:
-    """The element-wise mean of ``vector`` over the last ``rows`` rows, with or without the current one.
+def rolling_mean(df: DataFrame, key: str, order: list[str], vector: str, name: str, *, rows: int, include_current: bool, slice_: Column | None = None, block: int = 4096) -> DataFrame:
+    """``df`` with the element-wise mean of ``vector`` over the last ``rows`` rows, with or without the current one.
 
-    Vectors are exploded to (key, dimension), which spreads one stream over as many tasks as it has
-    dimensions.
+    A stream's rows are numbered (over slices of it along ``order``) and cut into blocks; every block also gets the
+    ``rows`` rows before it, and has its means from running sums. NULL without any row before. All vectors that
+    aren't NULL must have one length; NULL ones don't count but for their place.
     """
-    ids = [key, *order]
-    last = 0 if include_current else -1
-    flat = df.select(*ids, F.posexplode(vector).alias("_d", "_x"))
-    w = Window.partitionBy(key, "_d").orderBy(*order).rowsBetween(last - rows + 1, last)
-    flat = flat.withColumn("_m", F.avg(F.col("_x").cast("double")).over(w))
-    means = flat.filter("_m is not null").groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_a"))
-    return df.join(means.select(*ids, F.transform("_a", lambda x: x["_m"]).alias(name)), ids, "left")
+    numbered = running_sum(df, key, order, F.lit(0) if slice_ is None else slice_, F.lit(1), "_i")
+    block = max(block, rows)
+    at = F.floor((F.col("_i") - 1) / block)
+    tail = (F.col("_i") - 1) % block >= block - rows
+    spread = numbered.withColumn("_b", F.explode(F.when(tail, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_b") == at)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def means(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i", ignore_index=True)
+        there = group[vector].notna().to_numpy()
+        out = np.full(len(group), None, dtype=object)
+        if there.any():
+            x = np.zeros((len(group), len(group[vector][there.argmax()])))
+            x[there] = np.stack(group[vector][there].to_list())
+            sums = np.vstack([np.zeros(x.shape[1]), x.cumsum(axis=0)])
+            count = np.r_[0, there.cumsum()]
+            stop = np.arange(len(group)) + (1 if include_current else 0)
+            start = np.maximum(stop - rows, 0)
+            n = count[stop] - count[start]
+            mean = (sums[stop] - sums[start]) / np.maximum(n, 1)[:, None]
+            for k in np.flatnonzero((n > 0) & group["_own"].to_numpy()):
+                out[k] = mean[k]
+        return group.assign(**{name: out})[group["_own"]][schema.names]
+
+    return spread.groupBy(key, "_b").applyInPandas(means, schema)

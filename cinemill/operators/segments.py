@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,14 +145,45 @@ def construct(rows: list[tuple], limit: float) -> list[tuple]:
 
 
 def pooled(rows: DataFrame, keys: list[str], vector: str, name: str) -> DataFrame:
-    """``keys, name``: the mean of the vectors of a group, element by element; the first vector's length counts."""
-    flat = rows.filter(F.size(vector) > 0).select(*keys, F.posexplode(vector).alias("_d", "_x"))
-    means = flat.groupBy(*keys, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", F.col("_m").cast("float").alias("m")))), lambda x: x["m"]).alias(name))
-
+    """``keys, name``: the mean of the vectors of a group, element by element; where lengths differ, every element's own mean.
 
-def events(closed: DataFrame, *, embedding: str | None = None) -> DataFrame:
-    """One row per segment of ``close_segments``, with its importance, type, people, place and dialogue."""
+    Every batch is summed by group before anything is shuffled: a row of sums and counts for each group in it.
+    """
+    kinds = [rows.schema[c] for c in keys]
+    parts = T.StructType([*kinds, T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_n", T.ArrayType(T.LongType()))])
+    out = T.StructType([*kinds, T.StructField(name, T.ArrayType(T.FloatType()))])
+
+    def added(vectors: list, counts: list | None) -> tuple[np.ndarray, np.ndarray]:
+        longest = max(map(len, vectors))
+        sums, n = np.zeros(longest), np.zeros(longest, dtype=np.int64)
+        for k, v in enumerate(vectors):
+            v = np.asarray(v, dtype=np.float64)
+            there = ~np.isnan(v)
+            sums[: len(v)] += np.where(there, v, 0.0)
+            n[: len(v)] += there if counts is None else counts[k]
+        return sums, n
+
+    def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [(*(k if isinstance(k, tuple) else (k,)), *added(g[vector].to_list(), None)) for k, g in b.groupby(keys, dropna=False)]
+            if made:
+                frame = pd.DataFrame(made, columns=parts.names)
+                yield frame.astype({c: b[c].dtype for c in keys})
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        sums, n = added(group["_sums"].to_list(), group["_n"].to_list())
+        mean = (sums / np.maximum(n, 1)).astype(np.float32)
+        return group[keys].iloc[:1].assign(**{name: [mean]})
+
+    there = rows.filter(F.size(vector) > 0).select(*keys, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    return there.mapInPandas(partly, parts).groupBy(*keys).applyInPandas(whole, out)
+
+
+def events(closed: DataFrame, *, vectors: DataFrame | None = None, embedding: str | None = None) -> DataFrame:
+    """One row per segment of ``close_segments``, with its importance, type, people, place and dialogue.
+
+    ``vectors`` has (video_id, second, ``embedding``); their mean is the event's.
+    """
     keys = ["video_id", "start_ms"]
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     counts = F.array_sort(F.collect_set("character_count"))
@@ -171,7 +205,8 @@ def events(closed: DataFrame, *, embedding: str | None = None) -> DataFrame:
     )
     out = out.join(majority_labels(closed, keys, "scene_label", ["second"], "_scene"), keys, "left")
     if embedding:
-        out = out.join(pooled(closed, keys, embedding, "event_embedding"), keys, "left")
+        own = closed.select("video_id", "second", "start_ms").join(vectors.select("video_id", "second", embedding), ["video_id", "second"])
+        out = out.join(pooled(own, keys, embedding, "event_embedding"), keys, "left")
     else:
         out = out.withColumn("event_embedding", F.lit(None).cast("array<float>"))
     out = out.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
@@ -243,8 +278,6 @@ def _null(x):
 
 
 def _alike(a: dict, b: dict, threshold: float) -> bool:
-    import numpy as np
-
     if a["boundary_reason"] in S.HARD_REASONS or b["boundary_reason"] in S.HARD_REASONS:
         return False
     if _set(a["character_count_range"]) != _set(b["character_count_range"]) or _null(a["location_label"]) != _null(b["location_label"]):
@@ -259,8 +292,6 @@ def _alike(a: dict, b: dict, threshold: float) -> bool:
 
 
 def _joined(a: dict, b: dict, keep_details: bool) -> dict:
-    import numpy as np
-
     da, db = a["end_ms"] - a["start_ms"], b["end_ms"] - b["start_ms"]
     weighted = (a["importance"] * da + b["importance"] * db) / (da + db) if da + db > 0 else (a["importance"] + b["importance"]) / 2
     counts = sorted(_set(a["character_count_range"]) | _set(b["character_count_range"]))

@@ -44,3 +44,14 @@ def running_sum(df: DataFrame, key: str, order: list[str], slice_: Column, value
     inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_own", F.sum("_v").over(inside)).join(totals, [key, "_slice"])
     return rows.withColumn(name, F.col("_before") + F.col("_own")).drop("_slice", "_v", "_own", "_before")
+
+
+def running_max(df: DataFrame, key: str, order: list[str], slice_: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with the largest value over the key's rows before each in ``order``; NULL without any."""
+    rows = df.withColumns({"_slice": slice_, "_v": value})
+    most = rows.groupBy(key, "_slice").agg(F.max("_v").alias("_t"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    most = most.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.max("_t").over(before).alias("_before"))
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.max("_v").over(inside)).join(most, F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s")))
+    return rows.withColumn(name, F.greatest("_before", "_own")).drop("_slice", "_v", "_own", "_before", "_k", "_s")

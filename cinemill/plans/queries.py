@@ -15,6 +15,7 @@ from cinemill.operators import boundary, people, pixels, quality, sampler, segme
 from cinemill.operators.features import per_second
 from cinemill.operators.sliced import neighbours
 from cinemill.plans.tables import table
+from cinemill.session import cut
 from cinemill.sources import manifest, subtitles
 
 ROUND = 9  # sums of doubles depend on the order of their rows in the last digits
@@ -92,18 +93,19 @@ def f12_speech_music(spark, d):
 def s3_estimated_times(spark, d):
     """Every third packet loses its time and gets an estimate."""
     p = packets(spark, d).withColumn("pts", F.when(F.col("frame_id") % 3 != 0, F.col("timestamp_ms")))
-    out = sampler.estimated_times(p.drop("timestamp_ms"), "video_id", ["frame_id"], "pts", F.col("fps_used"))
+    out = sampler.estimated_times(p.drop("timestamp_ms"), "video_id", ["frame_id"], "pts", F.col("fps_used"), slice_=F.floor(F.col("frame_id") / 100_000))
     return rounded(out.select("video_id", "frame_id", "timestamp_ms"))
 
 
 def t1_strictly_rising(spark, d):
     p = packets(spark, d)
-    return sampler.strictly_rising(p, "video_id", ["arrived_at", "frame_id"], "timestamp_ms").select("video_id", "frame_id")
+    return sampler.strictly_rising(p, "video_id", ["arrived_at", "frame_id"], "timestamp_ms", slice_=F.floor(F.unix_seconds("arrived_at") / 3600)).select("video_id", "frame_id")
 
 
 def t2_schedule(spark, d):
     """What an adaptive scheduler keeps of the packets at the rate of their own importance."""
-    rows = packets(spark, d).withColumn("density", F.lit(0.0))
+    p = packets(spark, d)
+    rows = p.join(sampler.subtitle_density(p, cues(spark, d), "video_id", "timestamp_ms", id_=["frame_id"]), ["video_id", "frame_id"])
     rows = sampler.decide(rows, SamplerConfig()).select("video_id", "frame_id", "timestamp_ms", "target_fps")
     return sampler.schedule(rows, "video_id", "timestamp_ms", "target_fps", order=["frame_id"])
 
@@ -128,7 +130,7 @@ def f4_correlation_distance(spark, d):
 
 def _rolled(spark, d, rows, current):
     s = seconds(spark, d).filter("multimodal_embedding is not null").select("video_id", "second", "multimodal_embedding")
-    return sampler.rolling_mean(s, "video_id", ["second"], "multimodal_embedding", "mean", rows=rows, include_current=current)
+    return sampler.rolling_mean(s, "video_id", ["second"], "multimodal_embedding", "mean", rows=rows, include_current=current, slice_=F.floor(F.col("second") / 3600))
 
 
 def w2_novelty(spark, d):
@@ -139,13 +141,13 @@ def w2_novelty(spark, d):
 
 
 def w3_context(spark, d):
-    """The length of the mean vector of the last 45 rows."""
-    return _rolled(spark, d, 45, True).select("video_id", "second", F.round(vec.norm("mean"), 7).alias("length"))
+    """The mean vector of the last 45 rows (W3), whole as a digest to six places, and its length."""
+    return _rolled(spark, d, 45, True).select("video_id", "second", vec.digest("mean").alias("mean"), F.round(vec.norm("mean"), 7).alias("length"))
 
 
 def w4_recent(spark, d):
-    w = Window.partitionBy("video_id").orderBy("second").rowsBetween(-2, 0)
-    return seconds(spark, d).select("video_id", "second", F.array_join(F.collect_list("action_label").over(w), ",").alias("recent"))
+    rows = sampler.recent(seconds(spark, d).select("video_id", "second", "action_label"), "video_id", ["second"], F.floor(F.col("second") / 3600), "action_label", 3)
+    return rows.select("video_id", "second", F.array_join("recent", ",").alias("recent"))
 
 
 # ---- seconds ----------------------------------------------------------------------------------
@@ -179,7 +181,7 @@ def b1_signals(spark, d):
 
 def b8_decisions(spark, d):
     """Fusion, dominant signal, confidence, hard triggers and hold."""
-    rows = boundary.decisions(_signals(spark, d), REACHABLE)
+    rows = boundary.decisions(cut(_signals(spark, d)), REACHABLE)
     return rows.select("video_id", "second", F.round("fused", 6).alias("fused"), "dominant", F.round("boundary_confidence", 6).alias("confidence"), "is_boundary")
 
 
@@ -187,16 +189,17 @@ def b8_decisions(spark, d):
 
 
 def _closed(spark, d, config):
-    return segments.close_segments(boundary.decisions(_signals(spark, d), config), config)
+    return segments.close_segments(cut(boundary.decisions(cut(_signals(spark, d)), config)), config)
 
 
-def _built(spark, d, config=UNSPLIT):
-    return segments.numbered(segments.events(_closed(spark, d, config), embedding="multimodal_embedding"))
+def _built(spark, d, config=UNSPLIT, embedding="multimodal_embedding"):
+    vectors = seconds(spark, d).filter("multimodal_embedding is not null").select("video_id", "second", "multimodal_embedding")
+    return segments.numbered(segments.events(_closed(spark, d, config), vectors=vectors, embedding=embedding))
 
 
 def t7_events(spark, d):
     """Segments and their events without the limit of duration."""
-    e = _built(spark, d)
+    e = _built(spark, d, embedding=None)
     counts = F.array_join(F.transform("character_count_range", lambda x: x.cast("string")), ",").alias("counts")
     return rounded(
         e.select(
@@ -207,14 +210,13 @@ def t7_events(spark, d):
 
 
 def a10_event_embedding(spark, d):
-    """The first number and the length of every event's mean vector."""
+    """Every event's mean vector, whole as a digest to five places, and its length."""
     e = _built(spark, d).filter("event_embedding is not null")
-    first = F.round(F.get("event_embedding", F.lit(0)).cast("double"), 5)
-    return e.select("video_id", "event_id", (first + 0.0).alias("first"), F.round(vec.norm("event_embedding"), 5).alias("length"))
+    return e.select("video_id", "event_id", vec.digest("event_embedding", 5).alias("mean"), F.round(vec.norm("event_embedding"), 5).alias("length"))
 
 
 def t8_force_split(spark, d):
-    """Events under the default limit of duration."""
+    """Events under a limit of a minute."""
     config = dataclasses.replace(SegmenterConfig(), maximum_event_s=60.0)
     return rounded(segments.events(_closed(spark, d, config)).select("video_id", "start_ms", "end_ms", "boundary_reason", "confidence", "seconds", "importance"))
 
@@ -337,7 +339,7 @@ def l7_fusion(spark, d):
     e = table(spark, d, "embeddings")
     text = F.when(F.col("vec_id") % 2 == 0, F.reverse("embedding"))
     both, mean = vec.fuse("embedding", text, "concat"), vec.fuse("embedding", text, "mean")
-    return e.select("vec_id", F.size(both).alias("dims"), F.round(vec.norm(both), 5).alias("both"), F.round(vec.norm(mean), 5).alias("mean"))
+    return e.select("vec_id", F.size(both).alias("dims"), vec.digest(both).alias("both"), vec.digest(mean).alias("mean"))
 
 
 def c9_times(spark, d):

@@ -156,7 +156,7 @@ y as (select *, count(q) over (partition by video_id order by frame_id) run from
 select video_id, frame_id, round(coalesce(first_value(q) over w, 0) + sum(case when q is null then step else 0 end) over w, 9) as timestamp_ms from y window w as (partition by video_id, run order by frame_id)""",
     "t1_strictly_rising": f"""with {PK}, x as (select *, max(t) over (partition by video_id order by arrived_at, frame_id rows between unbounded preceding and 1 preceding) b from pk)
 select video_id, frame_id from x where b is null or t > b""",
-    "t2_schedule": f"""with recursive {PK}, x as (select video_id, frame_id, t, least(greatest(0.3 * m + 0.25 * coalesce(sc, false)::int + 0.2 * a + 0.15 * n, 0), 1) importance from pk),
+    "t2_schedule": f"""with recursive {PK}, {CUE}, {DEN}, x as (select video_id, frame_id, t, {IMP} importance from pk join den using (video_id, frame_id)),
 y as (select video_id, frame_id, t, {FPS} fps from x),
 k as (select video_id, min(t) t from y group by 1
   union all select y.video_id, min(y.t) from k join y on y.video_id = k.video_id and y.t - k.t >= 1000 / y.fps group by y.video_id)
@@ -172,7 +172,7 @@ y as (select *, avg(v) over (partition by video_id, i order by s rows between 10
 select video_id, s as second, round(case when count(a) = 0 then 0.0 else 1 - greatest(0, coalesce(corr(v, a), 0)) end, 7) as novelty from y group by 1, 2""",
     "w3_context": f"""with {TF}, x as (select video_id, s, unnest(e) v, unnest(range(160)) i from tf where e is not null),
 y as (select *, avg(v) over (partition by video_id, i order by s rows between 44 preceding and current row) a from x)
-select video_id, s as second, round(sqrt(sum(a * a)), 7) as length from y group by 1, 2""",
+select video_id, s as second, md5(string_agg(round(a * 1e6)::bigint::varchar, ',' order by i)) as mean, round(sqrt(sum(a * a)), 7) as length from y group by 1, 2""",
     "w4_recent": f"with {TF} select video_id, s as second, coalesce(array_to_string(list(action_label) over (partition by video_id order by s rows between 2 preceding and current row), ','), '') as recent from tf",
     "a1_per_second": f"""with {PK}, p as (select *, floor(t / 1000)::bigint s, case when img then frame_id % 4 end faces, n = 0 black from pk),
 tx as (select video_id, s, st x, min((t, frame_id)) o from p where length(st) > 0 group by 1, 2, 3),
@@ -196,7 +196,7 @@ select video_id, s as second, case when k then round(perr, 6) end as prediction_
   place as location_label, dialogue_text, event_type, {TEMPLATE} as summary, round(importance, 9) as importance, round(confidence, 6) as confidence from ef""",
     "a10_event_embedding": f"""with {TF}, {SIG}, {DEC}, {SEG}, x as (select video_id, seg, unnest(e) v, unnest(range(160)) i from sg where e is not null),
 y as (select video_id, seg, i, avg(v) q from x group by 1, 2, 3)
-select y.video_id, event_id, round(max(q::float::double) filter (i = 0), 5) + 0e0 as first, round(sqrt(sum(q * q)), 5) as length from y join se using (video_id, seg) group by 1, 2""",
+select y.video_id, event_id, md5(string_agg(round(q::float::double * 1e5)::bigint::varchar, ',' order by i)) as mean, round(sqrt(sum(q * q)), 5) as length from y join se using (video_id, seg) group by 1, 2""",
     "t6a_should_merge": f"""with {EV}, x as (select a.video_id, a.event_id, a.boundary_reason r1, b.boundary_reason r2, list_sort(coalesce(a.character_count_range, [])) c1, list_sort(coalesce(b.character_count_range, [])) c2,
   a.location_label l1, b.location_label l2, a.event_embedding::double[] e1, b.event_embedding::double[] e2 from ev a join ev b on b.video_id = a.video_id and b.event_id = a.event_id + 1)
 select video_id, event_id, not coalesce(r1 in ('scene_change', 'motion_spike') or r2 in ('scene_change', 'motion_spike'), false) and c1 = c2 and l1 is not distinct from l2
@@ -237,7 +237,7 @@ select video_id, event_id, {_MATCH} as scene, coalesce(try_cast(regexp_extract(s
   case when length(dialogue_text) > 0 then 'Dialogue: ' || case when length(dialogue_text) > 80 then left(dialogue_text, 80) || '…' else dialogue_text end end) as prompt from ev""",
     "l7_fusion": f"""with x as (select vec_id, embedding::double[] e, case when vec_id % 2 = 0 then list_reverse(embedding)::double[] else list_transform(embedding, lambda q: 0.0::double) end z from embeddings),
 y as (select vec_id, list_concat(e, z) b, list_transform(list_zip(e, z), lambda q: (q[1] + q[2]) / 2) m from x)
-select vec_id, len(b)::int as dims, round(sqrt({_dot('b', 'b')}), 5) as both, round(sqrt({_dot('m', 'm')}), 5) as mean from y""",
+select vec_id, len(b)::int as dims, md5(array_to_string(list_transform(b, lambda q: round(q * 1e6)::bigint), ',')) as both, md5(array_to_string(list_transform(m, lambda q: round(q * 1e6)::bigint), ',')) as mean from y""",
     "c9_times": f"""with {CUE} select video_id, cue_idx, {_clock('start_ms')} as clock, {_clock('end_ms')} || printf(',%03d', (floor(end_ms) % 1000)::bigint) as srt, floor(end_ms) as parsed from cue""",
     "c11_event_log": f"""with {EV}, b as (select video_id, event_id, printf('Event %03d', event_id + 1) || chr(10) || {_clock('start_time_ms')} || ' -> ' || {_clock('end_time_ms')} || chr(10) || 'Type: ' || event_type || chr(10)
   || 'Characters: ' || case when len(character_labels) > 0 then array_to_string(character_labels, ', ')

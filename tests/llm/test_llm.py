@@ -118,6 +118,23 @@ def test_knn_recall_of_spread_vectors(spark, tmp_path):
     assert sum((i, j) in got for i in range(4000) for j in want[i]) / 20_000 >= 0.9
 
 
+def test_neighbours_recall_beyond_the_most_cells(spark):
+    """With few cells allowed, cells are large and are searched by parts: recall stays, and so does what is shuffled."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, DIMS))
+    x = centres[rng.integers(0, 60, 6000)] + 1.2 * rng.standard_normal((6000, DIMS))
+    index = neighbours.Index(cell=100, most_cells=6, probes=4, tile=500, part=300, part_probes=3)
+    got = {}
+    for r in neighbours.nearest(vector_table(spark, x), ["video", "key"], "vector", index=index).collect():
+        got.setdefault(r.q.key, set()).add(r.n.key)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert all(len(got[i]) == 5 and i not in got[i] for i in range(6000))
+    assert sum(j in got[i] for i in range(6000) for j in want[i]) / 30_000 >= 0.9
+
+
 @pytest.mark.parametrize("sample", [50, 1])
 def test_neighbours_few_usable(spark, sample):
     """A large table of which few rows are usable keeps all their neighbours, also where chance leaves the sample empty."""
