@@ -17,7 +17,7 @@ def _normal(weights: dict[str, float]) -> dict[str, float]:
 
 @dataclass(frozen=True)
 class SamplerConfig:
-    """``adaptive`` and the motion, audio and novelty thresholds are checked and carried, but steer nothing;
+    """The defaults are fixed values. ``adaptive`` and the motion, audio and novelty thresholds are checked and carried, but steer nothing;
     a fixed rate is asked for by equal minimum and maximum."""
 
     adaptive: bool = True
@@ -33,6 +33,8 @@ class SamplerConfig:
     def __post_init__(self):
         if self.minimum_fps <= 0 or self.maximum_fps <= 0 or self.minimum_fps > self.maximum_fps:
             raise ValueError("rates must be positive and minimum_fps at most maximum_fps")
+        if self.buffer_seconds <= 0:
+            raise ValueError("buffer_seconds must be positive")
         for name in ("motion_threshold", "scene_threshold", "audio_threshold", "novelty_threshold"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")
@@ -46,6 +48,8 @@ class SamplerConfig:
 
 @dataclass(frozen=True)
 class SegmenterConfig:
+    """The defaults are fixed values."""
+
     buffer_seconds: float = 45.0
     boundary_threshold: float = 0.75
     minimum_event_s: float = 5.0
@@ -54,13 +58,18 @@ class SegmenterConfig:
     hold_ms: float = 2000.0
     margin: float = 0.05
     embedding_fusion: str = "concat"
+    #: Names of the embedding adapter's model; carried for it, the engine itself reads neither.
+    clip_model: str = "ViT-B-32"
+    clip_pretrained: str = "openai"
     weights: dict[str, float] = field(default_factory=lambda: _normal(RAW_WEIGHTS))
 
     def __post_init__(self):
-        if not 0 <= self.boundary_threshold <= 1 or not 0 <= self.merge_threshold <= 1:
-            raise ValueError("thresholds must lie in [0, 1]")
-        if not 0 < self.minimum_event_s <= self.maximum_event_s:
-            raise ValueError("event durations must be positive and ordered")
+        if not 0 < self.boundary_threshold <= 1 or not 0 <= self.merge_threshold <= 1:
+            raise ValueError("boundary_threshold must lie in (0, 1], merge_threshold in [0, 1]")
+        if self.buffer_seconds <= 0:
+            raise ValueError("buffer_seconds must be positive")
+        if not 0 < self.minimum_event_s < self.maximum_event_s:
+            raise ValueError("minimum_event_duration must be positive and below maximum_event_duration")
         if self.embedding_fusion not in ("concat", "mean"):
             raise ValueError("embedding_fusion is concat or mean")
         if abs(sum(self.weights.values()) - 1) > 1e-4:

@@ -75,6 +75,10 @@ def speech_music(zero_crossing, centroid, samples) -> tuple[Column, Column]:
     return speech, music
 
 
+def is_high_confidence(confidence, least: float = 0.75) -> Column:
+    return F.coalesce(_c(confidence) >= least, F.lit(False))
+
+
 def action_label(motion) -> Column:
     m = _c(motion)
     return F.when(m < 0.2, "static").when(m < 0.5, "walking").otherwise("fast_action")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: Capitalised words that are no names.
 NOT_NAMES = (
-    "Why Are Both Very Come That This What Daughter Ciao Ok Okay Yes No Please Sorry Hey Oh Ah Wait Look Listen Fine Good"
-    " Stop Run Go Help Now Just Then Sir Miss Mister Mr Mrs Dr Phone Dear Shut"
-).split()
+    "Why", "Are", "Both", "Very", "Come", "That", "This", "What", "Daughter", "Ciao", "Ok", "Okay", "Yes", "No", "Please", "Sorry", "Hey", "Oh", "Ah", "Wait",
+    "Look", "Listen", "Fine", "Good", "Stop", "Run", "Go", "Help", "Now", "Just", "Then", "Sir", "Miss", "Mister", "Mr", "Mrs", "Dr", "Phone", "Dear", "Shut",
+)
 #: Marks of a generated text that isn't a description.
 FILLERS = (
     r"(?i)let\s+me\s+know\s+if",
@@ -85,14 +85,15 @@ def first_integer(text) -> Column:
     return F.coalesce(F.regexp_extract(_c(text), r"(\d+)", 1).try_cast("int"), F.lit(0))
 
 
-def prompt_context(place, labels, dialogue, most: int = 80) -> Column:
+def prompt_context(scene, action, dialogue, most: int = 80) -> Column:
+    """What a captioner is told of a second: its scene and action, and the start of its dialogue if there is any."""
     d = _c(dialogue)
     short = F.when(F.length(d) > most, F.concat(F.left(d, F.lit(most)), F.lit("…"))).otherwise(d)
     return F.concat_ws(
         "; ",
-        F.concat(F.lit("Place: "), _c(place)),
-        F.when(F.size(_c(labels)) > 0, F.concat(F.lit("People: "), F.array_join(_c(labels), ", "))),
-        F.when(F.length(d) > 0, F.concat(F.lit("Dialogue: "), short)),
+        F.concat(F.lit("scene: "), F.coalesce(_c(scene), F.lit("unknown"))),
+        F.concat(F.lit("action: "), F.coalesce(_c(action), F.lit("unknown"))),
+        F.when(F.length(d) > 0, F.concat(F.lit('dialogue: "'), short, F.lit('"'))),
     )
 
 

@@ -9,7 +9,7 @@ from cinemill.config import SegmenterConfig
 from cinemill.functions import scoring as S
 from cinemill.functions import vec
 from cinemill.operators.features import SLICE_S
-from cinemill.operators.sliced import neighbours
+from cinemill.operators.sliced import neighbours, running_max
 
 _NEEDED = ["second", "scene_label", "character_count", "dialogue_present", "music_mood", "action_label"]
 
@@ -91,3 +91,9 @@ def decisions(rows: DataFrame, config: SegmenterConfig) -> DataFrame:
             "dominant": F.when(cut, "scene_change").when(there & F.col("spike"), "motion_spike").otherwise(F.coalesce("peak_dominant", "raw_dominant")),
         }
     ).drop("raw", "raw_dominant", "hard", "zone", "peak", "peak_dominant")
+
+
+def last_boundaries(decided: DataFrame) -> DataFrame:
+    """``decided`` with ``last_boundary``: the second of the last boundary before each second; NULL before the first."""
+    at = F.when(F.col("is_boundary"), F.col("second"))
+    return running_max(decided, "video_id", ["second"], F.floor(F.col("second") / SLICE_S), at, "last_boundary")

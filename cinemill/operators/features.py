@@ -26,6 +26,8 @@ def per_second(packets: DataFrame, *, unit_ms: int = 1000, carry: bool = True) -
     Optional columns: ``scene_label``, ``faces`` (count, NULL if not looked at), ``black``, ``has_image``; without
     them the label is unknown, the count NULL ("not observed", unlike 0), nothing is black and no image there.
 
+    ``image``: then ``last_image``, the last one of the second that isn't NULL, stands for it.
+
     A second's scores are means, its dialogue the distinct texts in order, its count the largest. A second
     without packets repeats the one before, but for the camera cue. Spectral flux is the change of mean
     loudness from the last observed second. ``unit_ms`` is the width of the buckets called seconds here.
@@ -33,7 +35,7 @@ def per_second(packets: DataFrame, *, unit_ms: int = 1000, carry: bool = True) -
     defaults = {"scene_label": F.lit(None).cast("string"), "faces": F.lit(None).cast("int"), "black": F.lit(False), "has_image": F.lit(False)}
     p = packets.withColumns({c: x for c, x in defaults.items() if c not in packets.columns})
     p = p.withColumns({"second": F.floor(F.col("timestamp_ms") / unit_ms), "ord": F.struct("timestamp_ms", "frame_id")})
-    keys = ["video_id", "second"]
+    keys, images = ["video_id", "second"], ["last_image"] if "image" in packets.columns else []
     text = F.when(F.length("subtitle_text") > 0, F.struct("ord", F.col("subtitle_text").alias("x")))
     texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(text)), lambda t: t["x"]))
     cut = F.coalesce(F.col("scene_change"), F.lit(False)) & ~F.coalesce("black", F.lit(False))
@@ -51,6 +53,7 @@ def per_second(packets: DataFrame, *, unit_ms: int = 1000, carry: bool = True) -
         F.max_by(F.coalesce("black", F.lit(False)), "ord").alias("last_black"),
         F.max_by("subtitle_text", F.when(F.col("subtitle_text").isNotNull(), F.col("ord"))).alias("last_text"),
         F.count("*").alias("packets"),
+        *([F.max_by("image", F.when(F.col("image").isNotNull(), F.col("ord"))).alias("last_image")] if images else []),
     )
     if "scene_label" in packets.columns:
         rows = rows.join(majority_labels(p, keys, "scene_label", ["timestamp_ms", "frame_id"], "scene_label"), keys, "left")
@@ -77,7 +80,7 @@ def per_second(packets: DataFrame, *, unit_ms: int = 1000, carry: bool = True) -
     at = F.explode(F.sequence(F.col("second"), until)).alias("at")
     columns = ["scene_label", "character_count", "action_label", "dialogue_present", "dialogue_text", "camera_cue", "music_mood"]
     scores = ["motion_score", "novelty_score", "audio_energy", "spectral_flux"]
-    rows = rows.select("video_id", "second", at, *columns, *scores, "image_available", "last_text", "packets")
+    rows = rows.select("video_id", "second", at, *columns, *scores, "image_available", "last_text", "packets", *images)
     return rows.select(
         "video_id",
         F.col("at").alias("second"),
@@ -89,4 +92,5 @@ def per_second(packets: DataFrame, *, unit_ms: int = 1000, carry: bool = True) -
         (F.col("at") != F.col("second")).alias("carried"),
         F.when(F.col("at") == F.col("second"), F.col("last_text")).alias("last_text"),
         F.when(F.col("at") == F.col("second"), F.col("packets")).otherwise(0).alias("packets"),
+        *[F.when(F.col("at") == F.col("second"), F.col(c)).alias(c) for c in images],
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What an audit says about a signal that is missing throughout.
+from cinemill.session import cut
+
+#: What an audit says about a signal that is missing throughout.
 WARNINGS = {"pct_scene_change": "no scene changes", "pct_dialogue": "no dialogue", "pct_image": "no images"}
 
 
@@ -46,18 +50,31 @@ def sampling_rate(packets: DataFrame) -> DataFrame:
 
 def rank_percentile(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """``keys, n, value_at``: the element at place ``int(n * share)`` (from 0) of a group's sorted values."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    out = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(sorted_.alias("_a"))
-    return out.select(*keys, F.size("_a").alias("n"), F.get("_a", F.floor(F.size("_a") * share).cast("int")).alias("value_at"))
+    # Equal values are counted, then sorted into ranges of about equal size; a group may take many ranges.
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    rows = cut(counts.repartitionByRange(*keys, "_v").withColumn("_r", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "_r").agg(F.sum("_c").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    ranges = ranges.withColumn("n", F.sum("_t").over(Window.partitionBy(*keys)))
+    at = F.floor(F.col("n") * share)
+    ranges = ranges.filter((F.col("_b") <= at) & (at < F.col("_b") + F.col("_t")))
+    # Only the range that holds the place is looked through.
+    hit = rows.alias("r").join(ranges.alias("g"), reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in [*keys, "_r"]]))
+    hit = hit.select(*[F.col(f"r.{c}").alias(c) for c in keys], "r._v", "r._c", "g._b", "g.n")
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = hit.withColumn("_u", F.col("_b") + F.sum("_c").over(upto)).filter((F.col("_u") - F.col("_c") <= at) & (at < F.col("_u")))
+    return hit.select(*keys, F.col("n").cast("int").alias("n"), F.col("_v").alias("value_at"))
 
 
 def boundary_matches(predicted: DataFrame, truth: DataFrame, tolerance_ms: float = 2000.0) -> DataFrame:
     """One row per stream: precision, recall and F1 of predicted boundaries (video_id, at) against true ones.
 
-    In order of time each prediction takes the first free true boundary within the tolerance; a fold over the
-    candidates of a stream, inside the JVM.
+    In order of time each prediction takes the first free true boundary within the tolerance; they meet in buckets as
+    wide as that, and the fold over the candidates of a stream runs inside the JVM.
     """
-    cands = predicted.select("video_id", F.col("at").alias("p")).join(truth.select("video_id", F.col("at").alias("t")), "video_id")
+    bucket = lambda c: F.floor(F.col(c) / tolerance_ms)
+    near = predicted.select("video_id", F.col("at").alias("p")).distinct().withColumn("b", F.explode(F.sequence(bucket("p") - 1, bucket("p") + 1)))
+    cands = near.join(truth.select("video_id", F.col("at").alias("t")).withColumn("b", bucket("t")), ["video_id", "b"])
     cands = cands.filter(F.abs(F.col("p") - F.col("t")) <= tolerance_ms).groupBy("video_id", "p").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     lists = cands.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("p", "ts"))).alias("a"))
     free = lambda used, x: F.get(F.filter(x["ts"], lambda t: ~F.array_contains(used, t)), F.lit(0))

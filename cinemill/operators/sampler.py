@@ -16,15 +16,17 @@ from cinemill.session import cut
 SLICE_MS = 3_600_000
 
 
-def clean_packets(df: DataFrame) -> DataFrame:
+def clean_packets(df: DataFrame, *, keep_image: bool = False) -> DataFrame:
     """One row per (video_id, frame_id), the first to arrive, with scores as numbers in [0, 1].
 
-    Rows without a time or key are left out. The copies of a packet are reduced before the shuffle.
+    Images are left out but for whether there is one, unless ``keep_image``. Rows without a time or key are left out. The copies of a packet are reduced before the shuffle.
     """
     t = F.col("timestamp_ms")
     good = df.filter(t.isNotNull() & ~F.isnan(t) & F.col("video_id").isNotNull() & F.col("frame_id").isNotNull())
     fields = ["arrived_at", *[c for c in df.columns if c not in ("video_id", "frame_id", "arrived_at", "image")]]
     has_image = F.col("image").isNotNull().alias("has_image") if "image" in df.columns else F.lit(False).alias("has_image")
+    if keep_image:
+        fields.append("image")
     out = good.groupBy("video_id", "frame_id").agg(F.min(F.struct(*fields, has_image)).alias("p")).select("video_id", "frame_id", "p.*")
     return out.withColumns({c: S.unit_score(c) for c in ("motion_score", "audio_energy", "novelty_score")})
 

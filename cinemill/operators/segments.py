@@ -316,15 +316,15 @@ def _joined(a: dict, b: dict, keep_details: bool) -> dict:
 
 def numbered(found: DataFrame) -> DataFrame:
     """Contiguous ``event_id`` per stream in order of time, and the ``summary`` template."""
-    w = Window.partitionBy("video_id").orderBy("start_ms")
-    rows = found.withColumn("event_id", F.row_number().over(w) - 1)
+    rows = running_sum(found, "video_id", ["start_ms"], F.floor(F.col("start_ms") / (SLICE_S * 1000)), F.lit(1), "event_id")
+    rows = rows.withColumn("event_id", (F.col("event_id") - 1).cast("int"))
     return rows.withColumn("summary", S.template_summary("event_type", "location_label", "max_characters_seen"))
 
 
 def chain(found: DataFrame) -> DataFrame:
     """The edges (video_id, src, dst) from every event to the next."""
-    w = Window.partitionBy("video_id").orderBy("event_id")
-    return found.select("video_id", F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("dst")).filter("dst is not null")
+    rows = neighbours(found.select("video_id", "event_id"), "video_id", ["event_id"], F.floor(F.col("event_id") / 4096), back=0, ahead=1)
+    return rows.select("video_id", F.col("event_id").alias("src"), F.col("next1.event_id").alias("dst")).filter("dst is not null")
 
 
 def split_events(found: DataFrame, seconds: DataFrame, maximum_s: float) -> DataFrame:

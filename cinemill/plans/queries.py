@@ -11,18 +11,22 @@ from cinemill.config import SamplerConfig, SegmenterConfig
 from cinemill.functions import scoring as S
 from cinemill.functions import text as X
 from cinemill.functions import vec
-from cinemill.operators import boundary, people, pixels, quality, sampler, segments
+from cinemill.operators import audio, boundary, people, pixels, quality, sampler, segments
 from cinemill.operators.features import per_second
 from cinemill.operators.sliced import neighbours
 from cinemill.plans.tables import table
 from cinemill.session import cut
-from cinemill.sources import manifest, subtitles
+from cinemill.sources import manifest, media, subtitles
 
 ROUND = 9  # sums of doubles depend on the order of their rows in the last digits
 #: A threshold that the fused score of the test data can reach; all other settings are the defaults.
 REACHABLE = dataclasses.replace(SegmenterConfig(), boundary_threshold=0.35)
 UNSPLIT = dataclasses.replace(REACHABLE, maximum_event_s=1e9)
-SCENES = "kitchen|living room|bedroom|office|hallway|street|village|forest|beach|outdoor field|vehicle interior|rooftop|restaurant|stage/studio|unknown".split("|")
+#: The names of scenes.
+SCENES = (
+    "kitchen", "living room", "bedroom", "office", "hallway", "street", "village", "forest", "beach", "outdoor field",
+    "vehicle interior", "rooftop", "restaurant", "stage/studio", "unknown",
+)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -85,6 +89,22 @@ def j1_audio_at(spark, d):
     return rounded(sampler.with_audio(packets(spark, d), w, "video_id", "timestamp_ms", window_ms=4000.0).select("video_id", "frame_id", "energy", "silence"))
 
 
+#: Seconds stand for samples: a window has 64 of them.
+SPECTRUM = audio.Spectrum(rate=64, frame=16, hop=8, bands=8, cepstrum=4)
+
+
+def f11_audio_features(spark, d):
+    """Loudness and zero crossings of windows of 64 seconds, of the loudness less 0.3 (F11, F12, from samples)."""
+    rows = audio.audio_features(_samples(spark, d).withColumn("value", F.col("value") - 0.3), "video_id", "position", "value", window_ms=1000.0, spectrum=SPECTRUM)
+    return rounded(rows.select("video_id", "idx", "energy", "silence", "zero_crossing"))
+
+
+def f11_spectra(spark, d):
+    """Cepstrum, onset flux, centroid and the speech and music they speak for."""
+    rows = audio.audio_features(_samples(spark, d), "video_id", "position", "value", window_ms=1000.0, spectrum=SPECTRUM)
+    return rounded(rows.select("video_id", "idx", vec.digest("cepstrum", 3).alias("cepstrum"), "spectral_flux", "centroid", "speech", "music"))
+
+
 def f12_speech_music(spark, d):
     speech, music = S.speech_music("spectral_flux", F.col("motion_score") * 8000, F.lit(64))
     return seconds(spark, d).select("video_id", "second", speech.alias("speech"), music.alias("music"))
@@ -166,6 +186,20 @@ def a1_per_second(spark, d):
     return rounded(per_second(featured(spark, d)).drop("timestamp_ms"))
 
 
+def a7_last_image(spark, d):
+    """The image that stands for a second (A7), by its digest."""
+    p = sampler.clean_packets(table(spark, d, "frame_packet"), keep_image=True)
+    rows = per_second(p).filter("last_image is not null")
+    return rows.select("video_id", "second", F.md5("last_image.rgb").alias("image"))
+
+
+def j4_seek_images(spark, d):
+    """The last image at or before every packet (J4), by its digest."""
+    f = _frames(spark, d).groupBy("video_id", "timestamp_ms").agg(F.min_by("image", "frame_id").alias("image")).select("video_id", "timestamp_ms", "image.*")
+    p = packets(spark, d).select("video_id", "frame_id", "timestamp_ms")
+    return media.seek_images(p, f).select("video_id", "frame_id", F.md5("image.rgb").alias("image"))
+
+
 # ---- boundaries -------------------------------------------------------------------------------
 
 
@@ -266,6 +300,18 @@ def a14_keyframes(spark, d):
     return out
 
 
+def w11_last_boundary(spark, d):
+    """The last boundary before every second (W11), and whether its own decision is confident."""
+    rows = boundary.last_boundaries(cut(boundary.decisions(cut(_signals(spark, d)), REACHABLE)))
+    return rows.select("video_id", "second", "last_boundary", S.is_high_confidence(F.round("boundary_confidence", 6)).alias("sure"))
+
+
+def w12_recent_motion(spark, d):
+    """The motion of the last five seconds, oldest first."""
+    rows = sampler.recent(seconds(spark, d).select("video_id", "second", "motion_score"), "video_id", ["second"], F.floor(F.col("second") / 3600), "motion_score", 5)
+    return rows.select("video_id", "second", F.array_join(F.transform("recent", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",").alias("recent"))
+
+
 # ---- people -----------------------------------------------------------------------------------
 
 
@@ -331,8 +377,7 @@ def l13_vocabulary(spark, d):
 
 
 def l15_prompt(spark, d):
-    e = stored_events(spark, d)
-    return e.select("video_id", "event_id", X.prompt_context("location_label", F.array("event_type"), "dialogue_text").alias("prompt"))
+    return seconds(spark, d).select("video_id", "second", X.prompt_context("scene_label", "action_label", "dialogue_text").alias("prompt"))
 
 
 def l7_fusion(spark, d):
@@ -354,7 +399,12 @@ def c11_event_log(spark, d):
 
 
 def c12_event_graph(spark, d):
-    return manifest.event_graph(stored_events(spark, d)).select("video_id", F.size(F.from_json("graph", "nodes array<struct<event_id:long>>, before array<struct<src:long,dst:long>>")["before"]).alias("edges"))
+    """Every event and edge of the graphs, read back from their JSON."""
+    shape = "events array<struct<event_id:long,start_time_ms:double,end_time_ms:double,event_type:string,summary:string,before:array<long>,causes:array<string>>>, edges_before array<array<long>>"
+    g = manifest.event_graph(stored_events(spark, d)).select("video_id", F.from_json("graph", shape).alias("g"))
+    e = g.select("video_id", F.size("g.edges_before").alias("edges"), F.array_join(F.transform("g.edges_before", lambda x: F.array_join(x, "-")), ",").alias("chain"), F.explode("g.events").alias("e"))
+    listed = F.array_join(F.col("e.before").cast("array<string>"), ",")
+    return e.select("video_id", "e.event_id", "e.start_time_ms", "e.end_time_ms", "e.event_type", "e.summary", listed.alias("before"), F.size("e.causes").alias("causes"), "edges", F.md5("chain").alias("chain"))
 
 
 def s7_subtitle_files(spark, d):
@@ -365,8 +415,17 @@ def s7_subtitle_files(spark, d):
     return subtitles.parse_cues(files, "video_id", "content")
 
 
+def s8_vtt_files(spark, d):
+    """Cues written in WebVTT form with a header, a file per stream, and read again."""
+    c = cues(spark, d).filter("text is not null")
+    time = lambda x: F.replace(X.srt_time(x), F.lit(","), F.lit("."))
+    blocks = c.withColumn("block", F.concat(time("start_ms"), F.lit(" --> "), time("end_ms"), F.lit(" align:start\n"), F.col("text")))
+    files = blocks.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "block"))), lambda x: x["block"]), "\n\n").alias("content"))
+    return subtitles.parse_cues(files.withColumn("content", F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), F.col("content"))), "video_id", "content")
+
+
 def s12_manifest(spark, d):
-    return manifest.manifest_rows(packets(spark, d)).select("video_id", "frame_id", "timestamp_ms", "motion_score", "decision_reason", "subtitle_text")
+    return manifest.manifest_rows(packets(spark, d))
 
 
 def s13_manifest_defaults(spark, d):
@@ -376,7 +435,10 @@ def s13_manifest_defaults(spark, d):
 
 def s15_event_rows(spark, d):
     rows = manifest.event_rows(stored_events(spark, d), embedding=True)
-    return rows.select("video_id", "event_id", "start_time_ms", "importance", "summary", "embedding_dim", F.size("embedding_head").alias("head"))
+    head = F.array_join(F.transform("event_embedding", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+    shown = [c for c in rows.columns if c not in ("event_embedding", "character_count_range", "character_labels")]
+    lists = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("character_count_range", "character_labels")]
+    return rows.select(*shown, *lists, head.alias("event_embedding"))
 
 
 # ---- quality ----------------------------------------------------------------------------------

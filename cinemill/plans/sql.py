@@ -233,8 +233,8 @@ select doc_id, md5(case when t is null or length(t) < 5 or length(t) - length(re
 select video_id, cue_idx, coalesce(hi, md) as name, case when hi is not null then 'high' else 'medium' end as confidence from v where coalesce(hi, md) is not null""",
     "l13_vocabulary": f"""with {EV}, x as (select video_id, event_id, lower(trim(summary)) q, {_scenes()} labels, summary from ev)
 select video_id, event_id, {_MATCH} as scene, coalesce(try_cast(regexp_extract(summary, '([0-9]+)', 1) as int), 0) as number from x""",
-    "l15_prompt": f"""with {EV} select video_id, event_id, concat_ws('; ', 'Place: ' || location_label, 'People: ' || coalesce(event_type, ''),
-  case when length(dialogue_text) > 0 then 'Dialogue: ' || case when length(dialogue_text) > 80 then left(dialogue_text, 80) || '…' else dialogue_text end end) as prompt from ev""",
+    "l15_prompt": f"""with {TF} select video_id, s as second, 'scene: ' || coalesce(scene_label, 'unknown') || '; action: ' || coalesce(action_label, 'unknown')
+  || case when length(dialogue_text) > 0 then '; dialogue: "' || case when length(dialogue_text) > 80 then left(dialogue_text, 80) || '…' else dialogue_text end || '"' else '' end as prompt from tf""",
     "l7_fusion": f"""with x as (select vec_id, embedding::double[] e, case when vec_id % 2 = 0 then list_reverse(embedding)::double[] else list_transform(embedding, lambda q: 0.0::double) end z from embeddings),
 y as (select vec_id, list_concat(e, z) b, list_transform(list_zip(e, z), lambda q: (q[1] + q[2]) / 2) m from x)
 select vec_id, len(b)::int as dims, md5(array_to_string(list_transform(b, lambda q: round(q * 1e6)::bigint), ',')) as both, md5(array_to_string(list_transform(m, lambda q: round(q * 1e6)::bigint), ',')) as mean from y""",
@@ -245,12 +245,44 @@ select vec_id, len(b)::int as dims, md5(array_to_string(list_transform(b, lambda
   || 'Location: ' || upper(left(coalesce(nullif(location_label, ''), 'Unknown'), 1)) || lower(substr(coalesce(nullif(location_label, ''), 'Unknown'), 2)) || chr(10) || 'Summary: ' || coalesce(nullif(summary, ''), '(no summary)') x from ev),
 l as (select video_id, string_agg(x, chr(10) || chr(10) order by event_id) y from b group by 1)
 select video_id, length(y)::int as length, md5(y) as digest from l""",
-    "c12_event_graph": f"with {EV} select video_id, (count(*) - 1)::int as edges from ev group by 1",
+    "c12_event_graph": f"""with {EV}, x as (select *, lead(event_id) over (partition by video_id order by event_id) nx from ev),
+c as (select video_id, count(nx)::int edges, md5(coalesce(string_agg(event_id || '-' || nx, ',' order by event_id) filter (nx is not null), '')) chain from x group by 1)
+select video_id, event_id, start_time_ms, end_time_ms, event_type, summary, coalesce(nx::varchar, '') as before, 0 as causes, edges, chain from x join c using (video_id)""",
     "s7_subtitle_files": f"with {CUE} select video_id, (row_number() over (partition by video_id order by cue_idx) - 1)::int as cue_idx, floor(start_ms) as start_ms, floor(end_ms) as end_ms, x as text from cue where x is not null",
-    "s12_manifest": f"with {PK} select video_id, frame_id, round(t, 3) as timestamp_ms, round(m, 4) as motion_score, decision_reason, st as subtitle_text from pk",
+    "s8_vtt_files": f"with {CUE} select video_id, (row_number() over (partition by video_id order by cue_idx) - 1)::int as cue_idx, floor(start_ms) as start_ms, floor(end_ms) as end_ms, x as text from cue where x is not null",
+    "s12_manifest": f"""with {PK} select video_id, frame_id, round(t, 3) as timestamp_ms, fps_used, round(m, 4) as motion_score, sc as scene_change, round(a, 4) as audio_energy, round(n, 4) as novelty_score,
+  decision_reason, st as subtitle_text from pk""",
     "s13_manifest_defaults": f"with {PK} select video_id, frame_id, 1e0 as fps_used, '' as decision_reason, coalesce(sc, false) as scene_change from pk",
-    "s15_event_rows": f"""with {EV} select video_id, event_id, round(start_time_ms, 1) as start_time_ms, round(importance, 4) as importance, summary, coalesce(len(event_embedding), -1)::int as embedding_dim,
-  coalesce(least(len(event_embedding), 32), -1)::int as head from ev""",
+    "s15_event_rows": f"""with {EV} select video_id, event_id, round(start_time_ms, 1) as start_time_ms, round(end_time_ms, 1) as end_time_ms, round(duration_ms, 1) as duration_ms, round(importance, 4) as importance,
+  round(confidence, 4) as confidence, summary, boundary_reason, event_type, max_characters_seen, character_data_available, location_label, len(event_embedding)::int as event_embedding_dim,
+  array_to_string(character_count_range, ',') as character_count_range, array_to_string(character_labels, ',') as character_labels,
+  array_to_string(list_transform(event_embedding[1:32], lambda q: round(round(q::double, 6) * 1e6)::bigint), ',') as event_embedding from ev""",
+    "w11_last_boundary": f"""with {TF}, {SIG}, {DEC} select video_id, s as second, max(case when bnd then s end) over (partition by video_id order by s rows between unbounded preceding and 1 preceding) as last_boundary,
+  coalesce(round(conf, 6) >= 0.75, false) as sure from de""",
+    "w12_recent_motion": f"""with {TF} select video_id, s as second, array_to_string(list(round(m * 1e6)::bigint) over (partition by video_id order by s rows between 4 preceding and current row), ',') as recent from tf""",
+    "f11_audio_features": f"""with {TF}, x as (select video_id, s // 64 idx, s, a - 0.3 v from tf), n as (select *, row_number() over w - 1 j, lag(v) over w p from x window w as (partition by video_id, idx order by s)),
+g as (select video_id, idx, count(*) k, sum(v * v) q, sum(case when p is not null and (p < -1e-10) <> (v < -1e-10) then case when j % 8 = 0 then 1 else 2 end else 0 end) z from n group by 1, 2),
+m as (select video_id, sqrt(sum(q) / sum(k)) * 5 + 1e-9 l from g group by 1)
+select video_id, idx, round(least(sqrt(q / 64) / l, 1), 9) as energy, sqrt(q / 64) < 0.02 as silence, round(z / 144.0, 9) as zero_crossing from g join m using (video_id) where k = 64""",
+    "a7_last_image": """with p as (select *, row_number() over (partition by video_id, frame_id order by arrived_at) rn from frame_packet where timestamp_ms is not null and not isnan(timestamp_ms))
+select video_id, floor(timestamp_ms / 1000)::bigint as second, arg_max(md5(image.rgb), (timestamp_ms, frame_id)) as image from p where rn = 1 and image is not null group by 1, 2""",
+    "j4_seek_images": f"""with {PK}, f as (select video_id, timestamp_ms t, arg_min(md5(image.rgb), frame_id) image from frame_packet where image is not null group by 1, 2)
+select pk.video_id, frame_id, f.image as image from pk asof left join f on pk.video_id = f.video_id and pk.t >= f.t""",
+    "c8_relabel": f"""with recursive {EV}, {CUE}, {NAMES}, nm as (select *, row_number() over (partition by video_id order by label) k from rv),
+st as (select video_id, event_id, 0::bigint k, summary x from ev union all select st.video_id, event_id, nm.k, replace(x, label, nm.name) from st join nm on nm.video_id = st.video_id and nm.k = st.k + 1),
+lt as (select video_id, event_id, arg_max_null(x, k) summary from st group by 1, 2),
+lb as (select video_id, event_id, unnest(character_labels) l, unnest(range(len(character_labels))) i from ev),
+ll as (select lb.video_id, event_id, string_agg(coalesce(rv.name, l), ',' order by i) labels from lb left join rv on rv.video_id = lb.video_id and rv.label = l group by 1, 2)
+select ev.video_id, ev.event_id, case when character_labels is null then null else coalesce(labels, '') end as labels, lt.summary as summary from ev left join ll using (video_id, event_id) left join lt using (video_id, event_id)""",
+    "a20_boundary_f1": f"""with recursive {TF}, {SIG}, {DEC}, {SEG}, {EV},
+pr as (select video_id, list(start_ms order by start_ms) p from se group by 1), tr as (select video_id, list(start_time_ms order by start_time_ms) q from ev group by 1),
+b as (select coalesce(pr.video_id, tr.video_id) video_id, coalesce(p, []) p, coalesce(q, []) q from pr full join tr on tr.video_id = pr.video_id),
+w as (select video_id, p, q, 0 k, []::double[] used from b
+  union all select video_id, p, q, k + 1, case when c is null then used else list_append(used, c) end
+  from (select *, list_filter(q, lambda t: abs(t - p[k + 1]) <= 2000 and not list_contains(used, t))[1] c from w where k < len(p))),
+f as (select video_id, len(p) n, len(q) m, len(used) tp from w where k = len(p)),
+g as (select *, case when n > 0 then tp / n else 0 end pc, case when m > 0 then tp / m else 0 end rc from f)
+select video_id, n::bigint as n, m::bigint as m, tp::int as tp, round(pc, 4) as precision, round(rc, 4) as recall, round(case when pc + rc > 0 then 2 * pc * rc / (pc + rc) else 0 end, 4) as f1 from g""",
     "a16_audit": f"""with {PK}, x as (select video_id, (max(t) - min(t)) / 1000 s, 100 * avg(coalesce(sc, false)::int) c, 100 * avg(coalesce(length(st) > 0, false)::int) d, avg(m) m, max(m) mm, 100 * avg(img::int) i from pk group by 1)
 select video_id, round(s, 9) as total_seconds, round(c, 9) as pct_scene_change, round(d, 9) as pct_dialogue, round(m, 9) as mean_motion, round(mm, 9) as max_motion, round(i, 9) as pct_image,
   concat_ws(',', case when c = 0 then 'no scene changes' end, case when d = 0 then 'no dialogue' end, case when i = 0 then 'no images' end) as warnings from x""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinemill.functions import text as X
+from cinemill.operators.sliced import neighbours
 
 #: Field, type and the value of a missing key.
 MANIFEST = {
@@ -45,8 +46,9 @@ def event_rows(events: DataFrame, *, embedding: bool = False) -> DataFrame:
     places = {"start_time_ms": 1, "end_time_ms": 1, "duration_ms": 1, "importance": 4, "confidence": 4}
     out = [F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in EVENT_FIELDS]
     if embedding:
+        # Both are NULL, so absent from the file, for an event without a vector.
         head = F.transform(F.slice("event_embedding", 1, 32), lambda x: F.round(x.cast("double"), 6))
-        out += [head.alias("embedding_head"), F.size("event_embedding").alias("embedding_dim")]
+        out += [head.alias("event_embedding"), F.when(F.col("event_embedding").isNotNull(), F.size("event_embedding")).alias("event_embedding_dim")]
     return events.select("video_id", *out)
 
 
@@ -69,12 +71,19 @@ def event_log(events: DataFrame) -> DataFrame:
 
 
 def event_graph(events: DataFrame) -> DataFrame:
-    """``video_id, graph``: nodes, the chain of before edges and an empty list of causes, as JSON."""
-    nodes = F.array_sort(F.collect_list(F.struct("event_id", "start_time_ms", "end_time_ms", "event_type")))
-    rows = events.groupBy("video_id").agg(nodes.alias("nodes"))
-    ids = F.transform("nodes", lambda x: x["event_id"])
-    pairs = F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(ids, 2, F.size(ids)), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
-    return rows.select("video_id", F.to_json(F.struct("nodes", pairs.alias("before"), F.array().cast("array<string>").alias("causes"))).alias("graph"))
+    """``video_id, graph``: a stream's events with the events that each comes before, and those edges, as JSON.
+
+    Of an event come its id, times, type and summary, ``before`` (the id of the next one) and ``causes`` (always empty);
+    ``edges_before`` has the pairs of ids. A NULL field is written as null.
+    """
+    rows = neighbours(events, "video_id", ["event_id"], F.floor(F.col("event_id") / 4096), back=0, ahead=1, carry=["event_id"])
+    following = F.when(F.col("next1").isNotNull(), F.array("next1.event_id")).otherwise(F.array().cast("array<bigint>"))
+    fields = [F.col(c) for c in ("event_id", "start_time_ms", "end_time_ms", "event_type", "summary")]
+    node = F.to_json(F.struct(*fields, following.alias("before"), F.array().cast("array<string>").alias("causes")), {"ignoreNullFields": "false"})
+    edge = F.when(F.col("next1").isNotNull(), F.to_json(F.array("event_id", "next1.event_id")))
+    parts = rows.select("video_id", "event_id", node.alias("node"), edge.alias("edge")).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "node", "edge"))).alias("a"))
+    joined = lambda c: F.array_join(F.array_compact(F.transform("a", lambda x: x[c])), ",")
+    return parts.select("video_id", F.concat(F.lit('{"events":['), joined("node"), F.lit('],"edges_before":['), joined("edge"), F.lit("]}")).alias("graph"))
 
 
 def comparison_table(rows: list[dict], columns: list[str]) -> str:
