@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from cinemill.functions import scoring as S
 from cinemill.functions import text as X
 from cinemill.operators.pixels import decode, heuristic_scene
+from cinemill.session import cut
 
 BLACK = 5  # an image without a value of at least this shows nothing
 
@@ -117,7 +118,7 @@ def summarised(events: DataFrame, router: Router, *, image: str = "key_image", c
             out.append(router.ask(picture, "What happens in this image?", system, 130 if said else 100) if shows_something(picture) else None)
         return {"_raw": pd.Series(out, index=b.index, dtype=object)}
 
-    rows = _with(rows, raw, "_raw string")
+    rows = cut(_with(rows, raw, "_raw string"))  # written once: a model is asked once
     return rows.withColumn("summary", X.accepted_text("_raw", F.col("_template"))).drop("_raw", "_template", "_system")
 
 

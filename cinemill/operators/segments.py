@@ -66,8 +66,9 @@ def close_segments(decided: DataFrame, config: SegmenterConfig, unit_ms: float =
         F.col("dominant").alias("reason"),
         F.col("boundary_confidence").alias("confidence"),
     )
-    # Two boundaries may claim one start (a spike right after a cut's second); the later one closed the segment.
-    closers = closers.groupBy("video_id", "next_first").agg(F.max_by("reason", F.col("reason") == "motion_spike").alias("reason"), F.max_by("confidence", F.col("reason") == "motion_spike").alias("confidence"))
+    # Two boundaries may claim one start (a spike right after a cut's second): the earlier one has closed the segment by then.
+    spike = F.col("reason") == "motion_spike"
+    closers = closers.groupBy("video_id", "next_first").agg(F.min_by("reason", spike).alias("reason"), F.min_by("confidence", spike).alias("confidence"))
     spans = short.groupBy("video_id", "segment", "next_first").agg(F.min("second").alias("a"), F.max("second").alias("b"))
     spans = spans.join(closers, ["video_id", "next_first"], "left").select(
         "video_id",

@@ -251,18 +251,32 @@ def a10_event_embedding(spark, d):
 
 def t8_force_split(spark, d):
     """Events under a limit of a minute."""
-    config = dataclasses.replace(SegmenterConfig(), maximum_event_s=60.0)
+    config = dataclasses.replace(REACHABLE, maximum_event_s=60.0)
     return rounded(segments.events(_closed(spark, d, config)).select("video_id", "start_ms", "end_ms", "boundary_reason", "confidence", "seconds", "importance"))
 
 
-def t6_merge(spark, d):
+def t6_chain(spark, d):
     """Merged, numbered events of the whole chain from the packets."""
     config = SegmenterConfig()
-    decided = boundary.decisions(boundary.signals(per_second(packets(spark, d))), config)
+    decided = cut(boundary.decisions(cut(boundary.signals(per_second(packets(spark, d)))), config))
     merged = segments.merge(segments.events(segments.close_segments(decided, config)), config)
     return segments.numbered(merged).drop("event_embedding", "character_count_range")
 
 
+def t6_merge(spark, d):
+    """The stored events, vectors and all, merged online and numbered."""
+    e = stored_events(spark, d).filter("importance is not null and not isnan(importance)")
+    e = e.withColumnsRenamed({"start_time_ms": "start_ms", "end_time_ms": "end_ms"})
+    m = segments.numbered(segments.merge(e, SegmenterConfig()))
+    counts = F.array_join(F.transform("character_count_range", lambda x: x.cast("string")), ",").alias("counts")
+    return rounded(
+        m.select(
+            *["video_id", "event_id", "start_ms", "end_ms", "boundary_reason", "confidence", "importance", "event_type", counts, "max_characters_seen"],
+            *["location_label", vec.digest("event_embedding", 4).alias("embedding"), "merged_from", "dialogue_text", "summary"],
+        )
+    )
+
+
 def t6a_should_merge(spark, d):
     e = stored_events(spark, d)
     pairs = e.alias("a").join(e.alias("b"), (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.event_id") == F.col("a.event_id") + 1))

@@ -76,7 +76,7 @@ de as (select *, case when iscut then 'scene_change' when ps is not null and spi
 
 SEG = """nx as (select *, coalesce(lead(bnd) over w and lead(dominant) over w = 'motion_spike', false) rew, lead(dominant) over w nd, lead(conf) over w nc
   from de window w as (partition by video_id order by s)),
-st as (select *, coalesce(bnd and dominant <> 'motion_spike', false) or rew opens, case when rew then 'motion_spike' else dominant end why, case when rew then nc else conf end sure from nx),
+st as (select *, coalesce(bnd and dominant <> 'motion_spike', false) or rew opens, case when rew and not coalesce(bnd and dominant <> 'motion_spike', false) then 'motion_spike' else dominant end why, case when rew and not coalesce(bnd and dominant <> 'motion_spike', false) then nc else conf end sure from nx),
 sg as (select *, sum(opens::int) over (partition by video_id order by s) seg from st),
 sp as (select video_id, seg, min(s) a, max(s) b, arg_min(why, s) why, arg_min(sure, s) sure from sg group by 1, 2),
 se as (select *, a * 1000e0 start_ms, coalesce(lead(a) over w, b) * 1000e0 end_ms, coalesce(lead(why) over w, 'stream_end') boundary_reason,
@@ -197,6 +197,41 @@ select video_id, s as second, case when k then round(perr, 6) end as prediction_
     "a10_event_embedding": f"""with {TF}, {SIG}, {DEC}, {SEG}, x as (select video_id, seg, unnest(e) v, unnest(range(160)) i from sg where e is not null),
 y as (select video_id, seg, i, avg(v) q from x group by 1, 2, 3)
 select y.video_id, event_id, md5(string_agg(round(q::float::double * 1e5)::bigint::varchar, ',' order by i)) as mean, round(sqrt(sum(q * q)), 5) as length from y join se using (video_id, seg) group by 1, 2""",
+    "t8_force_split": f"""with recursive {TF}, {SIG}, {DEC}, rw as (select *, row_number() over (partition by video_id order by s) k from de),
+f as (select video_id, 0::bigint k, null::bigint st, []::struct(s bigint, f double)[] op, null::bigint a, null::bigint b, null::bigint ea, null::bigint ez, null::varchar why, null::double sure from (select distinct video_id from tf)
+  union all select video_id, k, case when over then rest[1].s when bnd then endd else st end,
+    case when over then rest when bnd then (case when back is null then [] else [back] end) || [r] else op || [r] end,
+    case when over then o2[1].s when bnd and len(o1) > 0 then o1[1].s end, case when over then hit[-1].s when bnd and len(o1) > 0 then o1[-1].s end,
+    case when over or (bnd and len(o1) > 0) then st end, case when over then att when bnd and len(o1) > 0 then endd end,
+    case when over then 'force_split_max_duration' when bnd and len(o1) > 0 then dominant end, case when over then 0.6e0 when bnd and len(o1) > 0 then conf end
+  from (select *, list_filter(o2, lambda x: x.s <= att) hit, list_filter(o2, lambda x: x.s > att) rest, coalesce(back.s, s) endd,
+      case when back is null then op else op[:-2] end o1
+    from (select *, case when top = st and len(o2) > 1 then o2[len(o2) // 2 + 1].s else top end att
+      from (select *, list_filter(o2, lambda x: x.f = mx)[1].s top
+        from (select *, s - st > 60 as over, op || [r] o2, list_max(list_transform(op || [r], lambda x: x.f)) mx, case when dominant = 'motion_spike' and len(op) > 0 then op[-1] end back
+          from (select f.video_id, rw.k, coalesce(f.st, rw.s) st, f.op, rw.s, rw.bnd, rw.dominant, rw.conf, {{'s': rw.s, 'f': rw.fused}} r from f join rw on rw.video_id = f.video_id and rw.k = f.k + 1)))))),
+z as (select video_id, a, b, ea, ez, why, sure from f where a is not null
+  union all select video_id, op[1].s, op[-1].s, st, op[-1].s, 'stream_end', 0.5e0 from f where len(op) > 0 qualify row_number() over (partition by video_id order by k desc) = 1)
+select z.video_id, ea * 1000e0 as start_ms, ez * 1000e0 as end_ms, why as boundary_reason, round(sure, 9) as confidence, count(*) as seconds,
+  round(least(greatest(0.4 * max(m) + 0.25 * max(n) + 0.2 * avg(tf.a) + 0.15 * avg(coalesce(dialogue_present, false)::int), 0), 1), 9) as importance
+from z join tf on tf.video_id = z.video_id and tf.s between z.a and z.b group by z.video_id, ea, ez, why, sure""",
+    "t6_merge": f"""with recursive {EV}, x as (select *, row_number() over (partition by video_id order by start_time_ms) k, list_sort(list_distinct(coalesce(character_count_range, []))) cr from ev where importance is not null and not isnan(importance)),
+r as (select video_id, k, start_time_ms s, end_time_ms e, boundary_reason why, confidence conf, importance imp, event_type typ, cr, max_characters_seen mx, location_label place, event_embedding emb, 1 mf, true fresh, dialogue_text dt from x where k = 1
+  union all select video_id, k, case when j then s else s2 end, e2, why2, case when j then least(conf, conf2) else conf2 end,
+    case when not j then imp2 when e - s + e2 - s2 > 0 then (imp * (e - s) + imp2 * (e2 - s2)) / (e - s + e2 - s2) else (imp + imp2) / 2 end,
+    case when j then typ else typ2 end, case when j then list_sort(list_distinct(list_concat(cr, cr2))) else cr2 end, case when j then greatest(mx, mx2) else mx2 end, case when j then place else place2 end,
+    case when not j then emb2 when emb is null or emb2 is null or len(emb) <> len(emb2) then emb else list_transform(list_zip(emb, emb2), lambda q: ((q[1]::double + q[2]::double) / 2)::float) end,
+    case when j then mf + 1 else 1 end, not j, case when j then null else dt2 end
+  from (select *, least(e - s, e2 - s2) < 5000 or (not coalesce(why in ('scene_change', 'motion_spike') or why2 in ('scene_change', 'motion_spike'), false) and cr = cr2 and place is not distinct from place2
+      and case when emb is null or emb2 is null or len(emb) <> len(emb2) or len(emb) = 0 then true else d1 < 1e-20 or d2 < 1e-20 or least(greatest((1 - d12 / sqrt(d1) / sqrt(d2)) / 2, 0), 1) < 1 - 0.8 end) j
+    from (select *, {_dot('emb::double[]', 'emb::double[]')} d1, {_dot('emb2::double[]', 'emb2::double[]')} d2, case when len(emb) = len(emb2) then {_dot('emb::double[]', 'emb2::double[]')} end d12
+      from (select r.*  exclude (k), x.k, x.start_time_ms s2, x.end_time_ms e2, x.boundary_reason why2, x.confidence conf2, x.importance imp2, x.event_type typ2, x.cr cr2, x.max_characters_seen mx2, x.location_label place2,
+          x.event_embedding emb2, x.dialogue_text dt2 from r join x on x.video_id = r.video_id and x.k = r.k + 1)))),
+h as (select * from r qualify coalesce(lead(fresh) over (partition by video_id order by k), true))
+select video_id, (row_number() over (partition by video_id order by s) - 1)::int as event_id, s as start_ms, e as end_ms, why as boundary_reason, round(conf, 9) as confidence, round(imp, 9) as importance, typ as event_type,
+  case when len(cr) > 0 then array_to_string(cr, ',') end as counts, mx as max_characters_seen, place as location_label,
+  md5(array_to_string(list_transform(emb, lambda q: round(q::double * 1e4)::bigint), ',')) as embedding, mf as merged_from, dt as dialogue_text,
+  typ || ' event in ' || coalesce(place, 'unknown') || ', ' || case when mx is null then 'character data unavailable' when mx = 0 then 'no people detected' when mx = 1 then '1 person present' else mx || ' people present' end as summary from h""",
     "t6a_should_merge": f"""with {EV}, x as (select a.video_id, a.event_id, a.boundary_reason r1, b.boundary_reason r2, list_sort(coalesce(a.character_count_range, [])) c1, list_sort(coalesce(b.character_count_range, [])) c2,
   a.location_label l1, b.location_label l2, a.event_embedding::double[] e1, b.event_embedding::double[] e2 from ev a join ev b on b.video_id = a.video_id and b.event_id = a.event_id + 1)
 select video_id, event_id, not coalesce(r1 in ('scene_change', 'motion_spike') or r2 in ('scene_change', 'motion_spike'), false) and c1 = c2 and l1 is not distinct from l2
