@@ -14,6 +14,7 @@ from cinemill.functions import vec
 from cinemill.operators import audio, boundary, people, pixels, quality, sampler, segments
 from cinemill.operators.features import per_second
 from cinemill.operators.sliced import neighbours
+from cinemill.plans.sql import SQL  # noqa: F401 - the registry reads both
 from cinemill.plans.tables import table
 from cinemill.session import cut
 from cinemill.sources import manifest, media, subtitles

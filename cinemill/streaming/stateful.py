@@ -23,37 +23,48 @@ def keep_step(last: float | None, t: float, fps: float) -> bool:
     return last is None or (t > last and t - last >= 1000.0 / max(fps, 0.01))
 
 
-def _scheduled(delay_ms: float):
+def _scheduled(delay_ms: float, idle_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, newest, waiting = state.get if state.exists else (None, None, [])
         waiting = [tuple(x) for x in waiting or []]
-        rows = [r for b in batches for r in b[["frame_id", "timestamp_ms", "fps"]].itertuples(index=False, name=None)]
+        ended = state.hasTimedOut
+        rows = [] if ended else [r for b in batches for r in b[["frame_id", "timestamp_ms", "fps"]].itertuples(index=False, name=None)]
+        ended = ended or any(r[1] != r[1] or r[1] is None for r in rows)
         done = newest - delay_ms if newest is not None else None
-        waiting += [(int(f), float(t), float(r)) for f, t, r in rows if t == t and (done is None or t > done)]
+        waiting += [(int(f), float(t), float(r)) for f, t, r in rows if t is not None and t == t and (done is None or t > done)]
         if waiting:
             newest = max([w[1] for w in waiting] + ([newest] if newest is not None else []))
-        ready = sorted((w for w in waiting if w[1] <= newest - delay_ms), key=lambda w: (w[1], w[0])) if newest is not None else []
+        limit = None if newest is None else newest if ended else newest - delay_ms
+        ready = sorted((w for w in waiting if w[1] <= limit), key=lambda w: (w[1], w[0])) if limit is not None else []
         out = []
         for f, t, r in ready:
             if keep_step(last, t, r):
                 out.append((key[0], f, t, r))
                 last = t
         rest = [list(map(float, w)) for w in waiting if w not in set(ready)]
-        state.update((last, newest, rest))
+        if ended and not rest and state.hasTimedOut:
+            state.remove()
+        else:
+            # After an end nothing older than what was given out may come any more.
+            state.update((last, newest + delay_ms if ended and newest is not None else newest, rest))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["video_id", "frame_id", "timestamp_ms", "fps"])
 
     return run
 
 
-def schedule_stream(packets: DataFrame, *, delay_ms: float = 0.0) -> DataFrame:
+def schedule_stream(packets: DataFrame, *, delay_ms: float = 0.0, idle_ms: int | None = None) -> DataFrame:
     """The rows that the adaptive-rate scheduler keeps of a stream of (video_id, frame_id, timestamp_ms, fps).
 
     With a delay of 0 a row must come after all before it in its batch order of time; with ``delay_ms`` rows up
-    to that late are put in order, and the last ``delay_ms`` of a stream stay in state until more comes.
+    to that late are put in order. The last ``delay_ms`` of a stream wait for more, until a row without a
+    time says that the stream has ended, or, with ``idle_ms``, none has come for so long: then they are given out. (Spark
+    keeps a query with such a time-out running also under the trigger availableNow.)
     """
     return packets.groupBy("video_id").applyInPandasWithState(
-        _scheduled(delay_ms), KEPT, "last double, newest double, waiting array<array<double>>", "append", GroupStateTimeout.NoTimeout
+        _scheduled(delay_ms, idle_ms), KEPT, "last double, newest double, waiting array<array<double>>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -13,7 +13,7 @@ from cinemill.operators import boundary, people, quality, sampler, segments
 from cinemill.operators.features import per_second
 from cinemill.operators.sliced import neighbours, running_sum
 from cinemill.plans.tables import table
-from cinemill.streaming.stateful import schedule_stream
+from cinemill.streaming.stateful import schedule_stream, seconds_stream
 
 PACKET = "video_id long, frame_id long, timestamp_ms double, fps_used double, motion_score double, scene_change boolean, audio_energy double, novelty_score double, subtitle_text string"
 
@@ -110,6 +110,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.frame_id for r in sampler.schedule(df, "video_id", "timestamp_ms", "fps", order=["frame_id"]).collect()}
 
 
+def run_stream(spark, df, path, make, files=3, key="frame_id"):
+    n = df.count()
+    for k in range(files):
+        part = df.orderBy("timestamp_ms", key).limit((k + 1) * n // files).exceptAll(df.orderBy("timestamp_ms", key).limit(k * n // files)) if files > 1 else df
+        part.coalesce(1).write.mode("append").parquet(str(path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+    q = make(source).writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.read.parquet(str(path / "out"))
+
+
+def test_stream_with_delay_ends(spark, tmp_path):
+    """Late rows are put in order, and an end mark gives out what still waits."""
+    rows = [(1, i, 1000.0 * i, 1.0) for i in (0, 2, 1, 3, 5, 4)] + [(1, 6, None, 1.0)]
+    df = spark.createDataFrame(rows, "video_id long, frame_id long, timestamp_ms double, fps double")
+    got = run_stream(spark, df, tmp_path, lambda s: schedule_stream(s, delay_ms=5000.0), files=1)
+    assert sorted(r.frame_id for r in got.collect()) == [0, 1, 2, 3, 4, 5]
+    waiting = run_stream(spark, df.filter("frame_id < 6"), tmp_path / "w", lambda s: schedule_stream(s, delay_ms=2000.0), files=1)
+    assert sorted(r.frame_id for r in waiting.collect()) == [0, 1, 2, 3]
+
+
+def test_seconds_stream(spark, tmp_path):
+    rows = [(1, 100.0 * i, 0.1 * (i % 7), 0.2, 0.3, i == 4) for i in range(40)] + [(1, 60_000.0, 0.0, 0.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "video_id long, timestamp_ms double, motion_score double, audio_energy double, novelty_score double, scene_change boolean")
+    df = df.withColumn("at", F.timestamp_millis(F.col("timestamp_ms").cast("long")))
+    got = {r.second.second: r for r in run_stream(spark, df, tmp_path, seconds_stream, key="at").collect()}
+    assert sorted(got) == [0, 1, 2, 3] and all(r.packets == 10 for r in got.values()) and got[0].scene_change and not got[1].scene_change
+    assert abs(got[0].motion_score - sum(0.1 * (i % 7) for i in range(10)) / 10) < 1e-9
+
+
 def test_gap_fill_and_rows_per_second(spark):
     rows = [(1, i, 100.0 * i, 1.0, 0.1, False, 0.2, 0.3, None) for i in range(10)] + [(1, 10, 1500.0, 1.0, 0.1, True, 0.2, 0.3, "a"), (1, 11, 4800.0, 1.0, 0.9, False, 0.2, 0.3, "b")]
     got = per_second(spark.createDataFrame(rows, PACKET)).orderBy("second").collect()
