@@ -48,7 +48,7 @@ class Index:
     part: int = 4096
     part_probes: int = 3
     task: int = 500_000
-    error: float = 1.9
+    error: float = 2.4
     #: A value with at least this share of the sample is held apart as a group of exact copies.
     heavy: float = 0.002
     seed: int = 7
@@ -148,8 +148,13 @@ def search_in_parts(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centr
     return q[best], d[best], cosine[best]
 
 
-def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int, least: float, width: float):
-    """(query rows, found rows, cosines): the ``k`` best of the ``own`` rows for every row, by reranked cosine."""
+def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int, least: float, width: float, near: int = 32):
+    """(query rows, found rows, cosines): the ``k`` best of the ``own`` rows for every row, by reranked cosine.
+
+    One product of the queries with the scaled signs gives the upper bound of every inner product, error included. Some
+    vectors with the largest bounds are reranked first: their ``k``-th best cosine is a floor, and only what may
+    reach it is reranked.
+    """
     dims = len(centre)
     packed = -(-dims // 8)
     scalars = records[:, packed + dims :].copy().view(np.float32)
@@ -157,36 +162,49 @@ def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.nda
     _, first = np.unique(ids[own], return_index=True)
     data = np.flatnonzero(own)[first]
     _, queries = np.unique(ids, return_index=True)
-    bits = np.unpackbits(records[data, :packed], axis=1, count=dims).astype(np.float32) * 2 - 1
+    n = len(data)
+    if not n:
+        return queries[:0], queries[:0], np.empty(0, np.float32)
     a, g, e = (scalars[data, i] for i in range(3))
-    place = {int(i): n for n, i in enumerate(ids[data])}
+    bits = np.unpackbits(records[data, :packed], axis=1, count=dims).astype(np.float32) * 2 - 1
+    # Columns: scaled signs, the vector's own term, 1 for the query's, the width of the error.
+    codes = np.ascontiguousarray(np.concatenate([bits * a[:, None], g[:, None], np.ones((n, 1), np.float32), e[:, None]], axis=1).T)
+    del bits
+    target = full[data]
+    groups = max(k, min(4 * k, n // near)) if n > 8 * k * near else 0
+    at = np.minimum(np.searchsorted(ids[data], ids[queries]), n - 1)  # the data are in the order of their ids
+    itself = np.where(ids[data][at] == ids[queries], at, -1)
     out = []
     for start in range(0, len(queries), 512):
-        q = queries[start : start + 512]
+        q, me = queries[start : start + 512], itself[start : start + 512]
         rest = full[q] - centre
-        estimate = (rest @ bits.T) * a + g + (full[q] @ centre)[:, None]
-        error = width * np.linalg.norm(rest, axis=1)[:, None] * e
-        for n, i in enumerate(ids[q]):
-            if (at := place.get(int(i))) is not None:
-                estimate[n, at] = -9.0
+        most = np.concatenate([rest, np.ones((len(q), 1), np.float32), (full[q] @ centre)[:, None], width * np.linalg.norm(rest, axis=1)[:, None]], axis=1) @ codes
+        most[np.flatnonzero(me >= 0), me[me >= 0]] = -9.0
         floor = np.full(len(q), least, dtype=np.float32)
-        if len(data) > k:
-            floor = np.maximum(floor, np.partition(estimate - error, len(data) - k, axis=1)[:, len(data) - k])
-        close = (estimate + error >= floor[:, None]) & (estimate > -8)
-        if dense := close.mean() > 0.02:  # one product is quicker than so many single cosines, and few go on to the sort
-            every = np.where(close, full[q] @ full[data].T, np.float32(-9))
-            if len(data) > k:
-                close &= every >= np.partition(every, len(data) - k, axis=1)[:, len(data) - k][:, None]
-        rows, columns = np.nonzero(close)
-        cosine = every[rows, columns] if dense else np.concatenate(
-            [np.einsum("ij,ij->i", full[q[rows[i : i + 65536]]], full[data[columns[i : i + 65536]]]) for i in range(0, len(rows), 65536)] or [np.empty(0, np.float32)]
-        )
-        keep = cosine >= least
+        if groups:
+            # The best of the columns r, r + n / near, ...: a few such winners are nearly the best of all.
+            wide = n // near
+            best = most[:, : wide * near].reshape(len(q), near, wide).max(axis=1)
+            won = np.argpartition(best, wide - groups, axis=1)[:, wide - groups :]
+            stacked = most[:, : wide * near].reshape(len(q), near, wide)
+            row = np.arange(len(q))[:, None]
+            column = stacked[row, :, won].argmax(axis=2) * wide + won
+            cosine = np.einsum("ijk,ik->ij", target[column], full[q])
+            floor = np.maximum(floor, np.partition(cosine, groups - k, axis=1)[:, groups - k] - 1e-6)
+        rows, columns = np.nonzero(most >= floor[:, None])
+        there = most[rows, columns] > -8
+        rows, columns = rows[there], columns[there]
+        if len(rows) > 0.1 * most.size:  # one product is quicker than so many single cosines
+            cosine = (full[q] @ target.T)[rows, columns]
+        else:
+            cosine = np.concatenate([np.einsum("ij,ij->i", full[q[rows[i : i + 65536]]], target[columns[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.empty(0, np.float32)])
+        keep = cosine >= np.maximum(floor, least)[rows] - 1e-6
+        keep &= cosine >= least
         rows, columns, cosine = rows[keep], columns[keep], cosine[keep]
-        order = np.lexsort((ids[data[columns]], -cosine, rows))
+        order = np.lexsort((columns, -cosine, rows))
         rows, columns, cosine = rows[order], columns[order], cosine[order]
-        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        out.append((q[rows[best]], data[columns[best]], cosine[best]))
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((q[rows[top]], data[columns[top]], cosine[top]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
