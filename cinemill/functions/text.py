@@ -10,6 +10,11 @@ NOT_NAMES = (
     "Why", "Are", "Both", "Very", "Come", "That", "This", "What", "Daughter", "Ciao", "Ok", "Okay", "Yes", "No", "Please", "Sorry", "Hey", "Oh", "Ah", "Wait",
     "Look", "Listen", "Fine", "Good", "Stop", "Run", "Go", "Help", "Now", "Just", "Then", "Sir", "Miss", "Mister", "Mr", "Mrs", "Dr", "Phone", "Dear", "Shut",
 )
+#: The names of scenes.
+SCENES = (
+    "kitchen", "living room", "bedroom", "office", "hallway", "street", "village", "forest", "beach", "outdoor field",
+    "vehicle interior", "rooftop", "restaurant", "stage/studio", "unknown",
+)
 #: Marks of a generated text that isn't a description.
 FILLERS = (
     r"(?i)let\s+me\s+know\s+if",

@@ -23,11 +23,6 @@ ROUND = 9  # sums of doubles depend on the order of their rows in the last digit
 #: A threshold that the fused score of the test data can reach; all other settings are the defaults.
 REACHABLE = dataclasses.replace(SegmenterConfig(), boundary_threshold=0.35)
 UNSPLIT = dataclasses.replace(REACHABLE, maximum_event_s=1e9)
-#: The names of scenes.
-SCENES = (
-    "kitchen", "living room", "bedroom", "office", "hallway", "street", "village", "forest", "beach", "outdoor field",
-    "vehicle interior", "rooftop", "restaurant", "stage/studio", "unknown",
-)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -388,7 +383,7 @@ def c6_vocatives(spark, d):
 
 def l13_vocabulary(spark, d):
     e = stored_events(spark, d)
-    return e.select("video_id", "event_id", X.vocabulary_match("summary", SCENES).alias("scene"), X.first_integer("summary").alias("number"))
+    return e.select("video_id", "event_id", X.vocabulary_match("summary", list(X.SCENES)).alias("scene"), X.first_integer("summary").alias("number"))
 
 
 def l15_prompt(spark, d):

@@ -131,7 +131,7 @@ _MATCH = "coalesce(case when q <> '' then list_filter(labels, lambda l: contains
 
 
 def _scenes() -> str:
-    from cinemill.plans.queries import SCENES
+    from cinemill.functions.text import SCENES
 
     return "[" + ", ".join(f"'{s}'" for s in SCENES) + "]"
 
