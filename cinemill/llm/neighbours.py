@@ -191,7 +191,7 @@ def search(records: np.ndarray, ids: np.ndarray, own: np.ndarray, centre: np.nda
             column = stacked[row, :, won].argmax(axis=2) * wide + won
             cosine = np.einsum("ijk,ik->ij", target[column], full[q])
             floor = np.maximum(floor, np.partition(cosine, groups - k, axis=1)[:, groups - k] - 1e-6)
-        rows, columns = np.nonzero(most >= floor[:, None])
+        rows, columns = np.divmod(np.flatnonzero(most >= floor[:, None]), n)
         there = most[rows, columns] > -8
         rows, columns = rows[there], columns[there]
         if len(rows) > 0.1 * most.size:  # one product is quicker than so many single cosines
