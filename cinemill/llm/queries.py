@@ -19,6 +19,8 @@ HOUR_MS = 3_600_000
 #: Most nearest vectors lie at cosines of 0.3 to 0.6, where six cells of 100 hold too few of them; p2_found's pairs don't.
 #: Few large cells shuffle less than many small ones at the same recall.
 KNN = Index(cell=3000, probes=4, tile=65_536)
+#: Few vectors reach the least cosine of p2_found's pairs, so a wide error bound costs nothing there.
+PAIRS = Index(error=4.0)
 
 
 def p1_bands(spark, folder):
@@ -66,7 +68,7 @@ def p2_found(spark, folder, least: float = 0.9, k: int = 5):
     """Pairs from the index with some room (in cosine and in k) for the rerank's error, then held to exact cosines."""
     parts = []
     for kind, df in _vectors(spark, folder).items():
-        near = cut(nearest(df, ["video", "key"], "vector", k=2 * k, least=least - 0.015))
+        near = cut(nearest(df, ["video", "key"], "vector", k=2 * k, least=least - 0.015, index=PAIRS))
         exact = exact_cosines(near, df, ["video", "key"], "vector").filter(F.col("cosine") >= least)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "n"))
         pairs = exact.withColumn("place", place).filter(F.col("place") <= k)
