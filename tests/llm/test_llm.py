@@ -265,6 +265,41 @@ def test_density_with_core_and_border_points(spark, least):
         assert all(abs(r.typicality - mean[own.index(r.member)]) < 1e-3 and r.typicality >= best[k] - 1e-3 for k, r in enumerate(mine))
 
 
+def shuffled_rows(spark, work):
+    """Rows that the stages of ``work`` write to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        kept = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return [(kept.apply(i).stageId(), kept.apply(i).shuffleWriteRecords()) for i in range(kept.size())]
+
+    last = max((i for i, _ in stages()), default=-1)
+    out = work()
+    return out, sum(n for i, n in stages() if i > last)
+
+
+def test_shuffles_grow_with_the_space(spark):
+    """Four times the faces of the same people, many in no cell, in four times the tiles: well under the 16 times of all pairs."""
+    rng = np.random.default_rng(21)
+    frames = np.linalg.qr(rng.standard_normal((DIMS, 4)))[0].T
+    p = clusters.Density(tile=100, sample=500, shared=10)
+    written = []
+    for n in (1000, 4000):
+        who = np.arange(n) % 4
+        x = frames[who] + rng.choice([0.5, 0.7, 0.85], (n, 1), p=[0.7, 0.2, 0.1]) * rng.standard_normal((n, DIMS)) / np.sqrt(DIMS)
+        x[: n // 50] = rng.standard_normal((n // 50, DIMS))
+        x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)  # as the operator keeps them
+        names = [f"{i:05d}" for i in range(n)]
+        df = spark.createDataFrame([(7, m, [float(z) for z in v]) for m, v in zip(names, x)], "video long, key string, face array<double>")
+        got, rows = shuffled_rows(spark, lambda: clusters.vector_clusters(df, "video", "key", "face", params=p, describe=False).collect())
+        u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        assert {r.member: r.cluster_key for r in got} == dbscan(u, names, p.link, p.min_points)
+        written.append(rows)
+    assert 0 < written[1] < 10 * written[0], written
+
+
 def test_marks_meet_wherever_slips_allow():
     rng = random.Random(5)
     for _ in range(4000):
