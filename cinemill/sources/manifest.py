@@ -19,6 +19,8 @@ EVENT_FIELDS = (
     "event_id start_time_ms end_time_ms duration_ms importance confidence summary boundary_reason event_type"
     " character_count_range max_characters_seen character_data_available location_label character_labels"
 ).split()
+#: So many event ids of a stream are in one slice of its graph.
+GRAPH_SLICE = 4096
 
 
 def manifest_rows(packets: DataFrame) -> DataFrame:
@@ -70,20 +72,25 @@ def event_log(events: DataFrame) -> DataFrame:
     )
 
 
-def event_graph(events: DataFrame) -> DataFrame:
+def event_graph(events: DataFrame, *, sliced: bool = False) -> DataFrame:
     """``video_id, graph``: a stream's events with the events that each comes before, and those edges, as JSON.
 
     Of an event come its id, times, type and summary, ``before`` (the id of the next one) and ``causes`` (always empty);
     ``edges_before`` has the pairs of ids. A NULL field is written as null.
+
+    ``sliced``: a row for every ``GRAPH_SLICE`` ids of a stream, numbered in ``slice``, with the events and the edges that
+    begin there; a stream's rows in that order are its whole graph, however long, and none of them grows with it.
     """
-    rows = neighbours(events, "video_id", ["event_id"], F.floor(F.col("event_id") / 4096), back=0, ahead=1, carry=["event_id"])
+    slice_ = F.floor(F.col("event_id") / GRAPH_SLICE)
+    rows = neighbours(events, "video_id", ["event_id"], slice_, back=0, ahead=1, carry=["event_id"])
     following = F.when(F.col("next1").isNotNull(), F.array("next1.event_id")).otherwise(F.array().cast("array<bigint>"))
     fields = [F.col(c) for c in ("event_id", "start_time_ms", "end_time_ms", "event_type", "summary")]
     node = F.to_json(F.struct(*fields, following.alias("before"), F.array().cast("array<string>").alias("causes")), {"ignoreNullFields": "false"})
     edge = F.when(F.col("next1").isNotNull(), F.to_json(F.array("event_id", "next1.event_id")))
-    parts = rows.select("video_id", "event_id", node.alias("node"), edge.alias("edge")).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "node", "edge"))).alias("a"))
+    keys = ["video_id", "slice"] if sliced else ["video_id"]
+    parts = rows.select("video_id", slice_.alias("slice"), "event_id", node.alias("node"), edge.alias("edge")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("event_id", "node", "edge"))).alias("a"))
     joined = lambda c: F.array_join(F.array_compact(F.transform("a", lambda x: x[c])), ",")
-    return parts.select("video_id", F.concat(F.lit('{"events":['), joined("node"), F.lit('],"edges_before":['), joined("edge"), F.lit("]}")).alias("graph"))
+    return parts.select(*keys, F.concat(F.lit('{"events":['), joined("node"), F.lit('],"edges_before":['), joined("edge"), F.lit("]}")).alias("graph"))
 
 
 def comparison_table(rows: list[dict], columns: list[str]) -> str:

@@ -177,6 +177,27 @@ def test_events_file_and_graph(spark, tmp_path):
     assert got[2] == {"events": [{"event_id": 0, "start_time_ms": 0.0, "end_time_ms": 1.0, "event_type": "Scene", "summary": "x", "before": [], "causes": []}], "edges_before": []}
 
 
+def test_graph_of_a_hot_stream(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from cinemill.plans import queries
+
+    ids = [*range(0, 20_000, 2), 1_000_000]  # the last is alone in its slice
+    rows = [(7, i, float(i), i + 1.0, "Scene", f"s {i}") for i in ids] + [(8, 3, 0.0, 1.0, None, None)]
+    e = spark.createDataFrame(rows, "video_id long, event_id long, start_time_ms double, end_time_ms double, event_type string, summary string")
+    e.write.parquet(str(tmp_path / "video_event.parquet"))
+    made, graph = [], manifest.event_graph
+    monkeypatch.setattr(manifest, "event_graph", lambda *a, **k: made.append(graph(*a, **k)) or made[-1])
+    got = {(r.video_id, r.event_id): tuple(r)[2:] for r in queries.c12_event_graph(spark, str(tmp_path)).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    chain = md5(",".join(f"{a}-{b}" for a, b in zip(ids, ids[1:])))
+    assert got == {(7, i): (float(i), i + 1.0, "Scene", f"s {i}", str(n), 0, len(ids) - 1, chain) for i, n in zip(ids, [*ids[1:], ""])} | {(8, 3): (0.0, 1.0, None, None, "", 0, 0, md5(""))}
+    # No value holds a whole stream: 2048 of these events at most, each under 150 letters with its edge.
+    assert made[0].selectExpr("max(length(graph)) as n").first().n < 2048 * 150
+    whole = [x for x in graph(e).filter("video_id = 7").collect()]
+    assert len(whole) == 1 and whole[0].graph.count("event_id") == len(ids)
+
+
 def test_seek_over_slices(spark):
     p = spark.createDataFrame([(1, 0.0), (1, 1500.0), (1, 9000.0), (2, 5.0)], "video_id long, timestamp_ms double")
     f = spark.createDataFrame([(1, 1000.0, 1, 1, bytearray(b"a")), (1, 3000.0, 1, 1, bytearray(b"b"))], "video_id long, timestamp_ms double, h int, w int, rgb binary")
