@@ -300,6 +300,25 @@ def test_shuffles_grow_with_the_space(spark):
     assert 0 < written[1] < 10 * written[0], written
 
 
+def test_rows_in_no_cell_meet_their_clusters(spark):
+    """People without a cell of their own, over several tiles: four times the faces don't shuffle the 16 times of their pairs."""
+    rng = np.random.default_rng(23)
+    frames = np.linalg.qr(rng.standard_normal((DIMS, 6)))[0].T
+    p = clusters.Density(tile=300, sample=500, shared=10, cells=2)
+    written = []
+    for n in (750, 3000):
+        x = frames[np.arange(n) % 6] + 0.5 * rng.standard_normal((n, DIMS)) / np.sqrt(DIMS)
+        x[: n // 50] = rng.standard_normal((n // 50, DIMS))
+        x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)  # as the operator keeps them
+        names = [f"{i:05d}" for i in range(n)]
+        df = spark.createDataFrame([(7, m, [float(z) for z in v]) for m, v in zip(names, x)], "video long, key string, face array<double>")
+        got, rows = shuffled_rows(spark, lambda: clusters.vector_clusters(df, "video", "key", "face", params=p, describe=False).collect())
+        u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        assert {r.member: r.cluster_key for r in got} == dbscan(u, names, p.link, p.min_points)
+        written.append(rows)
+    assert 0 < written[1] < 8 * written[0], written
+
+
 def test_marks_meet_wherever_slips_allow():
     rng = random.Random(5)
     for _ in range(4000):
